@@ -108,9 +108,10 @@ rates AS (
   FROM levels, one),
 sums AS (
   SELECT r.source, r.source_size, r.target, r.rate,
-         {", ".join(f"abs(floor(r.rate) * r.source_size + sum(CASE WHEN {_DRAW.format(k=k)} THEN size ELSE 0 END) - r.target) AS o{k}" for k in range(SEEDS))}
-  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source GROUP BY ALL),
-seeds AS (SELECT *, list_position([{", ".join(f"o{k}" for k in range(SEEDS))}], least({", ".join(f"o{k}" for k in range(SEEDS))})) AS seed FROM sums),
+         {", ".join(f"sum(CASE WHEN {_DRAW.format(k=k)} THEN size ELSE 0 END) AS s{k}" for k in range(SEEDS))}
+  FROM sized s JOIN rates r ON s.source IS NOT DISTINCT FROM r.source GROUP BY r.source, r.source_size, r.target, r.rate),
+offs AS (SELECT *, {", ".join(f"abs(floor(rate) * source_size + s{k} - target) AS o{k}" for k in range(SEEDS))} FROM sums),
+seeds AS (SELECT *, list_position([{", ".join(f"o{k}" for k in range(SEEDS))}], least({", ".join(f"o{k}" for k in range(SEEDS))})) AS seed FROM offs),
 drawn AS (
   SELECT doc_id, size, r.source_size, r.target, s.source,
          CAST(floor(r.rate) AS BIGINT) + CASE WHEN [{", ".join(_DRAW.format(k=k) for k in range(SEEDS))}][r.seed] THEN 1 ELSE 0 END AS copies
