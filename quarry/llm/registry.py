@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from quarry.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from quarry.llm.fingerprint import op1_fingerprint
 from quarry.llm.language import op3_language
 from quarry.llm.mixing import OP10_SQL, op10_mixing
 from quarry.llm.near_dedup import op7_near_dedup
@@ -11,6 +12,7 @@ from quarry.llm.sharding import op9_sharding
 from quarry.llm.toxicity import op2_toxicity
 
 QUERIES = {
+    "op1_fingerprint": op1_fingerprint,
     "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
     "op5_packing": op5_packing,
