@@ -153,19 +153,19 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def _ranges(ids: DataFrame) -> tuple[list[int], dict[int, int], int]:
-    """(bounds, {range: its smallest id}, rows) over `ids` (doc_id); range i holds ids from bounds[i - 1] to below bounds[i].
+def range_bounds(ids: DataFrame) -> tuple[list[int], dict[int, int]]:
+    """(bounds, {range: its smallest id}) over `ids` (doc_id); range i holds ids from bounds[i - 1] to below bounds[i].
 
     The bounds are quantiles, so their number is the number of rows over RANGE_ROWS.
     """
     rows = ids.count()
     n = -(-rows // RANGE_ROWS)
     bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
-    least = {r["r"]: r["least"] for r in ids.groupBy(_range_of(bounds).alias("r")).agg(F.min("doc_id").alias("least")).collect()}
-    return bounds, least, rows
+    least = {r["r"]: r["least"] for r in ids.groupBy(range_of(bounds).alias("r")).agg(F.min("doc_id").alias("least")).collect()}
+    return bounds, least
 
 
-def _range_of(bounds: list[int]):
+def range_of(bounds: list[int]):
     @F.pandas_udf("int")
     def find(doc_id):
         import pandas as pd
@@ -228,14 +228,14 @@ def fingerprint_rows(docs: DataFrame) -> DataFrame:
         F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.col("doc_id").isNull().alias("is_null"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     )
-    bounds, least, _ = _ranges(rows.select("doc_id"))
+    bounds, least = range_bounds(rows.select("doc_id"))
     held = sorted(least)
     before = {least[r]: held[i - 1] for i, r in enumerate(held)}  # of a range's first id, the range that it follows
     names = F.array(*(F.struct(F.lit(i).cast("long").alias("id"), F.lit(r).alias("range")) for i, r in before.items())) if before else None
     if names is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     ahead = F.create_map(*[x for i, r in before.items() for x in (F.lit(i).cast("long"), F.lit(r))])[F.col("doc_id")]
-    to = F.filter(F.array(F.struct(_range_of(bounds).alias("r"), F.lit(False).alias("ahead")), F.struct(ahead.alias("r"), F.lit(True).alias("ahead"))), lambda x: x["r"].isNotNull())
+    to = F.filter(F.array(F.struct(range_of(bounds).alias("r"), F.lit(False).alias("ahead")), F.struct(ahead.alias("r"), F.lit(True).alias("ahead"))), lambda x: x["r"].isNotNull())
     dealt = rows.withColumn("to", F.explode(to)).select("to.r", "to.ahead", "doc_id", "is_null", "text")
     dealt = dealt.repartitionById(max(held) + 1, "r").sortWithinPartitions("r", "ahead", "doc_id", F.desc("is_null"), "text")
     return dealt.mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")

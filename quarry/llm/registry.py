@@ -9,12 +9,14 @@ from quarry.llm.mixing import OP10_SQL, op10_mixing
 from quarry.llm.near_dedup import op7_near_dedup
 from quarry.llm.packing import op5_packing
 from quarry.llm.sharding import op9_sharding
+from quarry.llm.token_files import op4_token_files
 from quarry.llm.toxicity import op2_toxicity
 
 QUERIES = {
     "op1_fingerprint": op1_fingerprint,
     "op2_toxicity": op2_toxicity,
     "op3_language": op3_language,
+    "op4_token_files": op4_token_files,
     "op5_packing": op5_packing,
     "op7_near_dedup": op7_near_dedup,
     "op8_exact_dedup": op8_exact_dedup,
