@@ -129,9 +129,9 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     Of rows that repeat the id one stays; a group in which all ids are null keeps each different text once.
     """
     rows = near_dedup_rows(docs)
-    kept = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    repeats = kept.where("component_id IS NOT NULL").groupBy("component_id").agg(F.min("text_hash").alias("text_hash"))
-    return keep_rows(docs, repeats.withColumnRenamed("component_id", "doc_id").union(kept.where("component_id IS NULL").select("doc_id", "text_hash").distinct()))
+    stays = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    named = stays.where("component_id IS NOT NULL").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
+    return keep_rows(docs, named.union(stays.where("component_id IS NULL").select("doc_id", "text_hash").distinct()))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
