@@ -43,7 +43,8 @@ def source_targets(sized: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     })
     level = (F.lit(float(share)) * F.col("all") - F.lit(float(most)) * F.col("capped")) / F.col("left")
     totals = totals.withColumn("level", level).withColumn("fits", F.lit(float(most)) * F.col("source_size") >= F.col("level") * F.col("weight"))
-    level = F.min(F.when(F.col("fits"), F.col("level"))).over(whole)
+    # the level rises while sources stop and falls after the first that fits
+    level = F.max(F.when(F.col("fits"), F.col("level"))).over(whole)
     at_most = F.lit(float(most)) * F.col("source_size")
     return totals.select("source", "source_size", F.coalesce(F.least(at_most, level * F.col("weight")), at_most).alias("target"))
 
@@ -101,7 +102,7 @@ laid AS (
   FROM totals
   WINDOW b AS (ORDER BY source_size::DOUBLE / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, (1.5::DOUBLE * everything - 2.0::DOUBLE * capped) / rest::DOUBLE AS level FROM laid),
-one AS (SELECT min(level) AS level FROM levels WHERE 2.0::DOUBLE * source_size >= level * weight),
+one AS (SELECT max(level) AS level FROM levels WHERE 2.0::DOUBLE * source_size >= level * weight),
 rates AS (
   SELECT source, source_size, least(2.0::DOUBLE * source_size, one.level * weight) AS target,
          CASE WHEN source_size > 0 THEN least(2.0::DOUBLE * source_size, one.level * weight) / source_size ELSE 0 END AS rate
