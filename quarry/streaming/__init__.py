@@ -1,0 +1 @@
+"""Reserved: the engine answers bounded OLAP queries only, so there are no streaming operators."""
