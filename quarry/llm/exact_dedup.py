@@ -168,7 +168,7 @@ def dedup_rows(docs: DataFrame) -> DataFrame:
     which Spark splits where one group is very large.
     """
     # not the row's position in the input, which a lost executor may change: the table that is written fixes it
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     rows = rows.mapInArrow(_digests, "doc_id long, n_chars long, digest binary, text_hash long").withColumn("tag", F.monotonically_increasing_id())
     rows = written(rows, "digests")
     local = rows.select("digest", "n_chars", "doc_id", "tag", F.lit(1).cast("long").alias("n")).mapInArrow(_fold, GROUP_SCHEMA)
@@ -182,12 +182,12 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
 
     Rows that repeat both the id and the text are told apart by nothing, so one of them is taken.
     """
-    names = docs.columns
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash"))
-    found = docs.join(kept, on, "left_semi")
+    rows = docs.select(F.struct("*").alias("row"))  # so that no column's name can clash
+    kept = kept.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
+    on = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("hash"))
+    found = rows.join(kept, on, "left_semi").select("row.*")
     repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1)
-    return (found.dropDuplicates(["doc_id", "text"]) if repeats.head() else found).select(*names)
+    return found.dropDuplicates(["doc_id", "text"]) if repeats.head() else found
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, remainder
+from quarry.llm.common import documents, remainder, written
 
 #: Training documents for each language at most, and how much of their n-grams a language's filter holds at most.
 SAMPLE, GRAMS = 1500, 40_000
@@ -153,7 +153,7 @@ def fit(docs: DataFrame) -> Filters:
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
     rated = counted.where(F.col("n") >= LEAST_COUNT).join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("total"))
     most = F.max("rate").over(Window.partitionBy("gram"))
-    kept = rated.withColumn("most", most).where(F.col("rate") >= OWN * F.col("most"))
+    kept = written(rated.withColumn("most", most).where(F.col("rate") >= OWN * F.col("most")), "grams")
     profiles: dict[str, np.ndarray] = {}
     for lang in sorted(numbers):
         rows = kept.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(GRAMS).select("gram")

@@ -76,12 +76,11 @@ def mix_rows(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """The mix itself: each row of `docs`, with all its columns, as often as `mix_rows` says."""
-    names = docs.columns
-    times = mix_rows(docs).where("copies > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__src"), F.col("copies").alias("__n"))
-    # rows that repeat an id and a source draw alike
-    times = times.dropDuplicates(["__id", "__src"])
-    on = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & F.col("source").cast("string").eqNullSafe(F.col("__src"))
-    return docs.join(times, on).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*names)
+    rows = docs.select(F.struct("*").alias("row"))  # so that no column's name can clash
+    times = mix_rows(docs).where("copies > 0").select(F.col("doc_id").alias("id"), F.col("source").alias("of"), F.col("copies").cast("int").alias("n"))
+    times = times.dropDuplicates(["id", "of"])  # rows that repeat an id and a source draw alike
+    on = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & F.col("row.source").cast("string").eqNullSafe(F.col("of"))
+    return rows.join(times, on).select("row", F.explode(F.sequence(F.lit(1), F.col("n")))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,7 +112,7 @@ def near_dedup_rows(docs: DataFrame) -> DataFrame:
     node, so a group of copies adds nothing to the index. Null ids are members but never give a component its id
     (null if it has no other). An empty table gives no rows.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64("text").alias("text_hash"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     rows = written(rows.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long"), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     labels = components(written(link_fingerprints(nodes), "links"))
