@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -10,7 +11,6 @@ from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,11 +20,13 @@ from quarry.llm.fingerprint import range_bounds, range_of
 #: Ids of a sequence, sequences of a record batch, and the id that ends each document.
 LENGTH, BATCH, END = 2048, 64, 1
 #: Chunks of text that a worker remembers.
-REMEMBERED = 400_000
-#: Letters below this are the same in all versions of Unicode that may be in use here.
-STABLE = "\u0590"
-
-_PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+REMEMBERED = 600_000
+#: The tokenizer's pieces of a lower-case chunk that has no character of _UNSURE.
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
+#: Characters that this module and the tokenizer may class or lower differently, and the beginning of special tokens.
+_UNSURE = re.compile("[\x00-\x1f\x7f-\xa0²³¹¼½¾Σ\u0590-\U0010ffff]|<[|]")
+#: The byte-level alphabet, from its rule: printable bytes stand for themselves, the others for code points from 256 on.
+_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
 
 
 class Encoder:
@@ -32,8 +34,7 @@ class Encoder:
 
     The tokenizer's pieces never reach over white space, so a text's ids are those of its chunks between blanks and
     line feeds. Chunks made of plain pieces are put together from remembered pieces; pieces that are new go to the
-    library many at a time, and their ids are told apart by the vocabulary's word ends. Any other chunk goes to the
-    library as it is.
+    library's model. Any other chunk goes to the library as it is.
     """
 
     def __init__(self, path: str):
@@ -43,25 +44,19 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 2**16 else np.dtype("<u4")
-        self.ends = np.zeros(size, bool)
-        for token, i in self.tokenizer.get_vocab().items():
-            self.ends[i] = token.endswith("</w>")
+        self._single = [np.array(i, self.dtype).tobytes() for i in range(size)]
         self.chunks: dict[str, bytes] = {"": b""}
         self.pieces: dict[str, bytes] = {}
 
     def _raw(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def _learn_pieces(self, new: list[str]) -> None:
-        for i in range(0, len(new), 2000):
-            part = new[i : i + 2000]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, self.dtype)
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part) and cuts[-1] == len(ids):
-                raw, at = ids.tobytes(), [0, *(cuts * self.dtype.itemsize).tolist()]
-                self.pieces.update(zip(part, (raw[a:b] for a, b in zip(at, at[1:]))))
-            else:  # some piece isn't one word to the tokenizer
-                self.pieces.update((p, self._raw(p)) for p in part)
+    def _learn_pieces(self, new: set[str]) -> None:
+        raw, merge = self._single, self.tokenizer.model.tokenize
+        for piece in new:
+            # the tokenizer's alphabet stands for bytes; printable ASCII stands for itself
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_ALPHABET)
+            self.pieces[piece] = b"".join([raw[t.id] for t in merge(shown)])
 
     def _learn(self, new: set[str]) -> None:
         if len(self.chunks) > REMEMBERED:
@@ -70,15 +65,14 @@ class Encoder:
             self.pieces = {}
         plain: dict[str, list[str]] = {}
         for chunk in new:
-            low = chunk.lower()
-            if chunk.isascii() and "<|" not in chunk or low.isalpha() and max(chunk) < STABLE and "Σ" not in chunk and is_normalized("NFC", low):
-                plain[chunk] = [low] if low.isalpha() else _PIECE.findall(low)
-            else:
+            if _UNSURE.search(chunk) or not (chunk.isascii() or is_normalized("NFC", chunk)):
                 self.chunks[chunk] = self._raw(chunk)
-        if unknown := set().union(*plain.values()) - self.pieces.keys():
-            self._learn_pieces(list(unknown))
-        for chunk, pieces in plain.items():
-            self.chunks[chunk] = b"".join(map(self.pieces.__getitem__, pieces))
+            else:
+                plain[chunk] = _PIECE.findall(chunk.lower())
+        if unknown := {p for pieces in plain.values() for p in pieces if p not in self.pieces}:
+            self._learn_pieces(unknown)
+        get = self.pieces.__getitem__
+        self.chunks.update((chunk, get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces))) for chunk, pieces in plain.items())
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian integers of `dtype`."""
