@@ -16,8 +16,9 @@ from quarry.llm.common import documents
 LEVELS = (2, 3)
 SLOTS = 128
 TOSSES = 4
-#: Documents of one range of ids at most, about; a range is sorted and read in one task.
-RANGE_ROWS = 4000
+#: Documents of one range of ids, about: as few as this on small inputs, up to so many times this on large ones, and the
+#: most ranges, as their bounds pass through the driver. A range is sorted, spilling if need be, and read in one task.
+RANGE_ROWS, LARGER, MOST_RANGES = 4000, 12, 20_000
 #: Characters that are parsed together, about; keeps the arrays in the processor's cache.
 CHUNK = 100_000
 
@@ -156,10 +157,11 @@ def edited(text: str, following: str) -> str:
 def range_bounds(ids: DataFrame) -> tuple[list[int], dict[int, int]]:
     """(bounds, {range: its smallest id}) over `ids` (doc_id); range i holds ids from bounds[i - 1] to below bounds[i].
 
-    The bounds are quantiles, so their number is the number of rows over RANGE_ROWS.
+    The bounds are quantiles of the ids.
     """
     rows = ids.count()
-    n = -(-rows // RANGE_ROWS)
+    per = min(max(RANGE_ROWS, rows // (8 * ids.sparkSession.sparkContext.defaultParallelism)), LARGER * RANGE_ROWS)
+    n = min(-(-rows // per), MOST_RANGES)
     bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
     least = {r["r"]: r["least"] for r in ids.groupBy(range_of(bounds).alias("r")).agg(F.min("doc_id").alias("least")).collect()}
     return bounds, least
