@@ -95,7 +95,7 @@ def pack_rows(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) ->
     without white space). A document longer than a bin is cut into full bins and a rest, so every word has one place.
     Null and empty texts are one piece without words; null sources are one source. An empty table gives no rows.
 
-    Documents are dealt by a hash of their id, position-free, to groups of about `group` documents, which are packed
+    Documents are dealt by a hash of their id and text to groups of about `group` documents, which are packed
     independently: a hot source or a large cluster is spread over all groups, no task holds more than a group at a
     time, and the bins that groups leave partly open cost about one in a few hundred.
     """
@@ -113,7 +113,7 @@ def pack_rows(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) ->
         out["bin_id"] += g << 32
         return out
 
-    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", F.lit("group")), F.lit(groups)))
+    dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "cluster"), F.lit(groups)))
     return dealt.groupBy("g").applyInPandas(pack, "doc_id long, source string, cluster long, piece long, n_words long, bin_id long, bin_offset long")
 
 

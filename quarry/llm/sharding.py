@@ -71,7 +71,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL) ->
     clockwise that isn't full; keys that no capacity turns away stay where the plain ring puts them (`home_shard`).
     Only the arcs' counts, SHARDS * VIRTUAL numbers at most, come to the driver; which keys of an arc overflow follows
     from their rank in the arc by position, id, size and checksum, so reruns agree. Null text has size 8 and checksum
-    0; a null id counts as -1 on the ring; repeated rows get a slot each. An empty table gives no rows. `grown_shard`
+    0; a row without an id stands on the ring by its text's checksum; repeated rows get a slot each. An empty table gives no rows. `grown_shard`
     is null, as it belongs to law `key`.
     """
     ring = Ring(shards, virtual)
@@ -80,7 +80,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL) ->
     def place(doc_id):
         import pandas as pd
 
-        at = positions(doc_id.fillna(-1).to_numpy())
+        at = positions(doc_id.to_numpy())
         return pd.DataFrame({"arc": ring.arcs(at).astype("int32"), "position": at.view(np.int64)})
 
     text = F.col("text").cast("string")
@@ -89,7 +89,7 @@ def shard_rows(docs: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL) ->
         (F.coalesce(F.octet_length(text), F.lit(0)) + F.lit(8)).cast("long").alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    rows = rows.withColumn("p", place(F.coalesce("doc_id", F.lit(-1)))).select("doc_id", "size", "text_crc32", "p.arc", "p.position")
+    rows = rows.withColumn("p", place(F.coalesce(F.col("doc_id"), -1 - F.col("text_crc32")))).select("doc_id", "size", "text_crc32", "p.arc", "p.position")
     rows = written(rows, "ring")
     counts = {r["arc"]: r["count"] for r in rows.groupBy("arc").count().collect()}
     segments = bounded_segments(ring, counts)
