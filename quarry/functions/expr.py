@@ -91,13 +91,13 @@ class Expr:
         return Func("isnotnull", (self,))
 
     def over(self, partition_by=(), order_by=(), rows: tuple | None = None, range_: tuple | None = None):
-        return Over(self, tuple(map(col, partition_by)), tuple(order_by), rows, range_)
+        return Over(self, tuple(map(col, partition_by)), tuple(map(col, order_by)), rows, range_)
 
-    def asc(self):
-        return Sort(self, False)
+    def asc(self, nulls_first: bool = False):
+        return Sort(self, False, nulls_first)
 
-    def desc(self):
-        return Sort(self, True)
+    def desc(self, nulls_first: bool = False):
+        return Sort(self, True, nulls_first)
 
 
 @dataclass(frozen=True)
@@ -167,6 +167,7 @@ class Agg(Expr):
 class Sort(Expr):
     of: Expr
     descending: bool = False
+    nulls_first: bool = False
 
 
 @dataclass(frozen=True)
@@ -343,11 +344,11 @@ def compile_expr(e: Expr, resolve: Resolver, aggregate: Callable[[Agg], Column]
                 return out if otherwise is None else out.otherwise(go(otherwise))
             case Agg():
                 return aggregate(x) if aggregate else plain(x)
-            case Sort(of, descending):
-                return go(of).desc_nulls_last() if descending else go(of).asc_nulls_last()
+            case Sort(of, descending, nulls_first):
+                return getattr(go(of), f"{'desc' if descending else 'asc'}_nulls_{'first' if nulls_first else 'last'}")()
             case Over(of, partition_by, order_by, rows, range_):
                 w = Window.partitionBy(*map(go, partition_by)) if partition_by else Window.partitionBy()
-                w = w.orderBy(*map(go, order_by)) if order_by else w
+                w = w.orderBy(*(go(o if isinstance(o, Sort) else Sort(o)) for o in order_by)) if order_by else w
                 w = w.rowsBetween(*rows) if rows else w.rangeBetween(*range_) if range_ else w
                 return (getattr(F, of.name)(*(a.value if isinstance(a, Lit) else go(a) for a in of.args)) if isinstance(of, Func) else go(of)).over(w)
             case Raw(column, _, _):
