@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarry.errors import QueryError
 from quarry.functions.columns import Scope
-from quarry.functions.expr import Agg, Alias, Expr, Resolver, compile_expr, flat, output_name
+from quarry.functions.expr import Agg, Alias, Expr, Resolver, compile_expr, flat, output_name, qualified
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,11 @@ def merged(frames: list[AggFrame]) -> list[AggFrame]:
     return list(by_key.values())
 
 
+def normalize_schema(frame: DataFrame, names: list[str]) -> DataFrame:
+    """Table-qualified columns as flat ones, each named `table.column`."""
+    return frame.select(*(qualified(n).alias(n) for n in names))
+
+
 def full_join(left: DataFrame, right: DataFrame, groups: tuple[str, ...]) -> DataFrame:
     """Rows of both by group; null groups meet. Of columns with one name the left one stays. Without groups both have one row."""
     new = [c for c in right.columns if c not in left.columns]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import asdict, dataclass, field
 from enum import Enum
 
@@ -33,8 +34,26 @@ def _sorts(sorts, known, label: str) -> None:
         _known([column], known, label)
 
 
+class Payload:
+    """To and from dictionaries and JSON; reading goes through the constructor and its checks."""
+
+    @classmethod
+    def from_dict(cls, d: dict):
+        return cls(**d)
+
+    @classmethod
+    def from_json(cls, text: str):
+        return cls.from_dict(json.loads(text))
+
+    def to_dict(self) -> dict:
+        return asdict(self)
+
+    def to_json(self) -> str:
+        return json.dumps(self.to_dict())
+
+
 @dataclass(frozen=True)
-class AggQuery:
+class AggQuery(Payload):
     measures: list[str]
     filters: dict | None = field(default_factory=dict)
     groups: list[str] = field(default_factory=list)
@@ -50,13 +69,6 @@ class AggQuery:
             raise QueryError("measures must not be empty")
         _limit(self.limit, self.offset)
 
-    @classmethod
-    def from_dict(cls, d: dict):
-        return cls(**d)
-
-    def to_dict(self) -> dict:
-        return asdict(self)
-
     def check(self, columns: set[str], outputs: dict[str, list[str]]) -> None:
         """`outputs`: the columns that each registered measure gives."""
         _known(self.measures, outputs, "Unknown measure")
@@ -75,7 +87,7 @@ class AggQuery:
 
 
 @dataclass(frozen=True)
-class ViewQuery:
+class ViewQuery(Payload):
     columns: list[str]
     filters: dict | None = field(default_factory=dict)
     sorts: list[tuple[str, str]] = field(default_factory=list)
@@ -90,9 +102,6 @@ class ViewQuery:
             if "." not in c:
                 raise QueryError(f"columns must be table-qualified: {c}")
 
-    from_dict = classmethod(AggQuery.from_dict.__func__)
-    to_dict = AggQuery.to_dict
-
     def check(self, columns: set[str]) -> None:
         _known(self.columns, columns, "Unknown column")
         _known(filter_columns(self.filters), columns, "Unknown filter column")
@@ -105,7 +114,7 @@ class ColumnValuesMode(Enum):
 
 
 @dataclass(frozen=True)
-class ColumnValuesQuery:
+class ColumnValuesQuery(Payload):
     column: str
     mode: ColumnValuesMode = ColumnValuesMode.DISTINCT
     use_pre_agg: bool = True
@@ -120,7 +129,5 @@ class ColumnValuesQuery:
             if not part or not part.replace("_", "a").isalnum():
                 raise QueryError(f"invalid {what} name: {part!r}")
 
-    from_dict = classmethod(AggQuery.from_dict.__func__)
-
     def to_dict(self) -> dict:
         return asdict(self) | {"mode": self.mode.value}

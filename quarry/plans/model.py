@@ -14,7 +14,7 @@ from quarry.errors import QueryError
 from quarry.functions.columns import Scope
 from quarry.functions.expr import Agg, Alias, Resolver, bare, compile_expr, flat, qualified
 from quarry.functions.filters import filter_columns, filter_tree
-from quarry.operators.measures import AggFrame, full_join, merged
+from quarry.operators.measures import AggFrame, full_join, merged, normalize_schema
 from quarry.plans.contexts import AggQuery, ColumnValuesMode, ColumnValuesQuery, ViewQuery
 from quarry.plans.joins import Join, JoinGraph
 from quarry.plans.recorder import Recorder
@@ -170,7 +170,7 @@ class DataModel:
         df = self._joined(base, self.graph.joins_for(base, [t for t in tables if t != base]))
         if (tree := filter_tree(q.filters)) is not None:
             df = df.filter(compile_expr(tree, qualified))
-        return _finished(df.select(*(qualified(c).alias(c) for c in q.columns)), q, None)
+        return _finished(normalize_schema(df, q.columns), q, None)
 
     def _column_values(self, q: ColumnValuesQuery) -> DataFrame:
         table, _, column = q.column.partition(".")

@@ -34,6 +34,8 @@ def test_names_and_defaults(plain):
     assert df.columns == ["orders.region", "revenue"]
     assert [tuple(r) for r in df.collect()] == [(None, 1.25), ("south", 450.5), ("north", 250.0)]
     assert AggQuery(["m"]).limit == 10_000 and ViewQuery.from_dict({"columns": ["a.b"]}).to_dict()["limit"] == 10_000
+    q = AggQuery(["m"], {"and": []}, ["a.b"], sorts=[["a.b", "asc"]])
+    assert AggQuery.from_json(q.to_json()) == q and ColumnValuesQuery.from_json(ColumnValuesQuery("a.b", "range").to_json()).mode is ColumnValuesMode.RANGE
     assert ColumnValuesQuery("a.b", "range").to_dict()["mode"] == "range" and ColumnValuesQuery("a.b").mode is ColumnValuesMode.DISTINCT
 
 
