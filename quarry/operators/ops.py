@@ -176,8 +176,7 @@ class JoinFrame(Operation):
     key: int = 0
 
     def reads(self):
-        own = [c for c in (columns(self.where) if self.where is not None else [])]
-        return list(self.left_on) + own
+        return [*self.left_on, *(columns(self.where) if self.where is not None else ())]
 
     def apply(self, df, resolve):
         right = self.right

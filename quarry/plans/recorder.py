@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 
 from quarry.errors import QueryError
 from quarry.functions.columns import ColumnSelection, FilterSelection, Scope
-from quarry.functions.expr import Agg, Alias, Col, Expr, aggregates, bare, col, columns, lit, outside_aggregates, output_name, rewrite
+from quarry.functions.expr import Agg, Alias, Col, Expr, aggregates, col, columns, lit, outside_aggregates, output_name, rewrite
 from quarry.functions.filters import prune
 from quarry.operators import ops
 from quarry.operators.measures import AggFrame
@@ -146,7 +146,7 @@ class Recorder:
         if self.groups is None:
             return df
         final = self._source if planned.version is not None else lambda e: e
-        groups = tuple(output_name(g) if bare(g) is None else self.aliases.get(bare(g), bare(g)) for g in self.groups)
+        groups = tuple(map(output_name, self.groups))
         aggs = tuple(a if isinstance(a, Alias) else Alias(a, output_name(a)) for a in self.aggs)
         key = (planned.key, tuple(map(repr, self.ops)), groups, tuple(map(repr, self.groups)))
         return AggFrame(df, groups, tuple(final(g.of if isinstance(g, Alias) else g) for g in self.groups), tuple(final(a) for a in aggs), resolve, planned.aggregate, key, tuple(self.scopes), planned.version)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import allow, exclude
-from quarry.functions.expr import Agg, Col, Func, Lit, avg, case, col, count, count_distinct, func, lit, max_, min_, nullif, stddev, stddev_pop, sum_, var_pop, var_samp
+from quarry.functions.expr import Col, Func, Lit, avg, case, col, count, count_distinct, func, lit, max_, min_, nullif, stddev, stddev_pop, sum_, var_pop, var_samp
 from quarry.plans.joins import Join
 from quarry.plans.model import DataModel
 from quarry.sources import tables
@@ -257,4 +257,4 @@ add("sql_information_schema", lambda spark, sf: rollup_model(spark, sf).sql("SEL
 FLAGSHIP = {"measures": ["revenue", "orders_seen"], "groups": [REGION], "havings": _where("revenue", ">", 0), "sorts": [["revenue", "desc"]]}
 agg("flagship", FLAGSHIP, SQL["agg_join_3hop"])
 
-__all__ = ["FLAGSHIP", "QUERIES", "SQL", "Agg", "model", "rollup_model"]
+__all__ = ["FLAGSHIP", "QUERIES", "SQL", "model", "rollup_model"]

@@ -18,7 +18,7 @@ from pyspark.sql.types import StructType
 from quarry.functions.expr import Agg, bare
 from quarry.plans.joins import Join
 from quarry.sources.files import Files
-from quarry.sources.preagg import METADATA, NEEDED, PreAggregation, physical, servable
+from quarry.sources.preagg import METADATA, NEEDED, PreAggregation, servable
 
 #: Seconds for which a superseded version, and a file that nothing names, stay.
 RETIRED_GRACE, ORPHAN_GRACE = 60.0, 3600.0
@@ -193,4 +193,4 @@ def lease_scope(store: PreAggStore | None, most_age: float | None = None) -> Ite
         scope.release()
 
 
-__all__ = ["LeaseScope", "PreAggStore", "Reclaimed", "Version", "active", "identities", "lease_scope", "physical"]
+__all__ = ["LeaseScope", "PreAggStore", "Reclaimed", "Version", "active", "identities", "lease_scope"]

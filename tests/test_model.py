@@ -99,6 +99,8 @@ def test_recorder_sees_what_it_uses(plain):
     for blocked in (t().with_columns(a=col("orders.amount") * 2), t().with_columns(a=col("orders.amount").cast("int")), t().limit(0, 5), t().distinct(), t().join(plain.scan_table("customers"), "left", ["orders.region"], ["customers.region"]), t().union(t())):
         assert not agg(blocked).pre_agg_allowed
     assert agg(t().sort("orders.amount")).pre_agg_allowed
+    renamed = t().with_columns(where=col("orders.region")).aggregate(["where"], [count().alias("n")]).build().to_df()
+    assert renamed.columns == ["where", "n"] and renamed.count() == 3
     with pytest.raises(QueryError, match="can't be reached"):
         t().aggregate(["products.price"], [count()]).build()
 
