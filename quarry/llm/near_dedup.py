@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import documents, split_words, written
 from quarry.llm.components import components
 from quarry.llm.exact_dedup import keep_rows
+from quarry.llm.similar_sets import similar_rows
 
 SHINGLE = 3
 SEED = 42
@@ -123,12 +124,16 @@ def near_dedup_rows(docs: DataFrame) -> DataFrame:
     return rows.join(of.hint("merge"), F.col("fp") == F.col("f")).select("doc_id", "fp", "text_hash", "component_id")
 
 
-def near_dedup(docs: DataFrame) -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """`docs` with one document of each group: the one with the smallest doc_id. All columns stay.
 
+    With `similarity`, groups are linked by the Jaccard similarity of sets of `shingle` words (`similar_rows`), else by
+    fingerprints of SHINGLE words within MOST_BITS (`near_dedup_rows`).
     Of rows that repeat the id one stays; a group in which all ids are null keeps each different text once.
     """
-    rows = near_dedup_rows(docs)
+    if similarity is None and shingle != SHINGLE:
+        raise ValueError("fingerprints have a fixed shingle size")
+    rows = near_dedup_rows(docs) if similarity is None else similar_rows(docs, shingle, similarity)
     stays = rows.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
     named = stays.where("component_id IS NOT NULL").groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
     return keep_rows(docs, named.union(stays.where("component_id IS NULL").select("doc_id", "text_hash").distinct()))
