@@ -130,6 +130,9 @@ BY_FLAG = "SELECT l_returnflag AS lineitem__l_returnflag, {} FROM lineitem {} GR
 NET_SQL = "round(sum(l_extendedprice * (1 - l_discount)), 2)"
 STAR = "lineitem LEFT JOIN orders ON l_orderkey = o_orderkey LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"
 
+#: A limit above any table's size, for queries whose subject is not the limit.
+EVERY_ROW = 2**31 - 1
+
 # aggregates
 SIMPLE = {
     "agg_sum": ("quantity", "round(sum(l_quantity), 2)"), "agg_count": ("lines", "count(l_orderkey)"), "agg_min": ("least_price", "min(l_extendedprice)"),
@@ -171,7 +174,7 @@ agg("filter_allow_prunes", {"measures": ["flag_lines"], "groups": [STATUS], "fil
 agg("filter_exclude_prunes", {"measures": ["no_status"], "groups": [FLAG], "filters": {"and": [_where(STATUS, "=", "O"), _where("part.p_size", ">", 25)]}}, "SELECT l_returnflag AS lineitem__l_returnflag, count(*) AS no_status FROM lineitem LEFT JOIN part ON l_partkey = p_partkey WHERE p_size > 25 GROUP BY 1")
 agg("filter_not_honoured", {"measures": ["all_lines"], "groups": [FLAG], "filters": BOTH}, BY_FLAG.format("count(*) AS all_lines", ""))
 agg("filter_unreachable_pruned", {"measures": ["order_total"], "groups": ["orders.o_orderstatus"], "filters": BOTH | {"and": [*BOTH["and"], _where("orders.o_totalprice", ">", 1000)]}}, "SELECT o_orderstatus AS orders__o_orderstatus, round(sum(o_totalprice), 2) AS order_total FROM orders WHERE o_totalprice > 1000 GROUP BY 1")
-agg("having_measure", {"measures": ["lines"], "groups": ["supplier.s_name"], "havings": _where("lines", ">", 590)}, "SELECT s_name AS supplier__s_name, count(l_orderkey) AS lines FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 HAVING count(l_orderkey) > 590")
+agg("having_measure", {"measures": ["lines"], "groups": ["supplier.s_name"], "havings": _where("lines", ">", 590), "limit": EVERY_ROW}, "SELECT s_name AS supplier__s_name, count(l_orderkey) AS lines FROM lineitem LEFT JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 HAVING count(l_orderkey) > 590")
 agg("having_group", {"measures": ["lines"], "groups": [FLAG], "havings": _where(FLAG, "!=", "A")}, BY_FLAG.format("count(l_orderkey) AS lines", "") + " HAVING l_returnflag <> 'A'")
 agg("having_in", {"measures": ["lines"], "groups": [REGION], "havings": _where(REGION, "in", ["ASIA", "EUROPE"])}, f"SELECT r_name AS region__r_name, count(l_orderkey) AS lines FROM {STAR} GROUP BY 1 HAVING r_name IN ('ASIA', 'EUROPE')")
 
@@ -209,9 +212,9 @@ add("preagg_rename_alias", _renamed, BY_FLAG.format("round(sum(l_quantity), 2) A
 VIEW = ["lineitem.l_orderkey", "lineitem.l_linenumber", "lineitem.l_partkey", "lineitem.l_suppkey"]
 VIEW_SQL = "l_orderkey AS lineitem__l_orderkey, l_linenumber AS lineitem__l_linenumber, l_partkey AS lineitem__l_partkey, l_suppkey AS lineitem__l_suppkey"
 ALL = [[c, "asc"] for c in VIEW]
-agg("view_single", {"columns": ["orders.o_orderkey", "orders.o_orderstatus"], "filters": _where("orders.o_totalprice", ">", 490000)}, "SELECT o_orderkey AS orders__o_orderkey, o_orderstatus AS orders__o_orderstatus FROM orders WHERE o_totalprice > 490000")
+agg("view_single", {"columns": ["orders.o_orderkey", "orders.o_orderstatus"], "filters": _where("orders.o_totalprice", ">", 490000), "limit": EVERY_ROW}, "SELECT o_orderkey AS orders__o_orderkey, o_orderstatus AS orders__o_orderstatus FROM orders WHERE o_totalprice > 490000")
 agg("view_join", {"columns": ["orders.o_orderkey", "customer.c_name", REGION], "sorts": [["orders.o_orderkey", "asc"]], "limit": 500}, "SELECT o_orderkey AS orders__o_orderkey, c_name AS customer__c_name, r_name AS region__r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey ORDER BY 1 LIMIT 500")
-agg("view_filter_join", {"columns": ["orders.o_orderkey", "orders.o_totalprice"], "filters": {"and": [_where(REGION, "=", "ASIA"), _where("orders.o_totalprice", ">", 480000)]}}, "SELECT o_orderkey AS orders__o_orderkey, o_totalprice AS orders__o_totalprice FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND o_totalprice > 480000")
+agg("view_filter_join", {"columns": ["orders.o_orderkey", "orders.o_totalprice"], "filters": {"and": [_where(REGION, "=", "ASIA"), _where("orders.o_totalprice", ">", 480000)]}, "limit": EVERY_ROW}, "SELECT o_orderkey AS orders__o_orderkey, o_totalprice AS orders__o_totalprice FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND o_totalprice > 480000")
 agg("view_sort_limit", {"columns": VIEW, "sorts": [[VIEW[0], "desc"], *ALL[1:]], "limit": 100, "offset": 5}, f"SELECT {VIEW_SQL} FROM lineitem ORDER BY 1 DESC, 2, 3, 4 LIMIT 100 OFFSET 5")
 
 # column values
