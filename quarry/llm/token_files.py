@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
+import json
 import os
-import re
 import uuid
 import zlib
 from collections.abc import Iterator
-from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,22 +19,25 @@ from quarry.llm.fingerprint import range_bounds, range_of
 
 #: Ids of a sequence, sequences of a record batch, and the id that ends each document.
 LENGTH, BATCH, END = 2048, 64, 1
-#: Chunks of text that a worker remembers.
-REMEMBERED = 600_000
-#: The tokenizer's pieces of a lower-case chunk that has no character of _UNSURE.
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-#: Characters that this module and the tokenizer may class or lower differently, and the beginning of special tokens.
-_UNSURE = re.compile("[\x00-\x1f\x7f-\xa0²³¹¼½¾Σ\u0590-\U0010ffff]|<[|]")
-#: The byte-level alphabet, from its rule: printable bytes stand for themselves, the others for code points from 256 on.
-_ALPHABET = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or 174 <= b))}
+#: Pieces that a worker remembers, and bytes of text that it encodes together.
+REMEMBERED, TOGETHER = 600_000, 8_000_000
+#: The tokenizer's normalizer, its pattern of pieces and the end of a piece's last token.
+_NORMALIZER = ["NFC", "Replace", "Lowercase"]
+_PIECE = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_END_OF_PIECE = "</w>"
+#: The pieces that aren't runs of letters; blanks around them leave all pieces between blanks.
+_APART = r"'(?:s|t|re|ve|m|ll|d)|\p{N}|[^\s\p{L}\p{N}]+"
+#: Characters beyond U+02FF, which may compose, controls, and those that Arrow lowers otherwise; the beginning of special tokens.
+_UNSURE = "[^\t\n\r -~\u00a1-\u02ff]|\u0130|<[|]"
 
 
 class Encoder:
-    """Encodes whole texts with a tokenizer file, remembering what it has encoded.
+    """Encodes whole texts with a tokenizer file, by pieces where the tokenizer is the one this module knows.
 
-    The tokenizer's pieces never reach over white space, so a text's ids are those of its chunks between blanks and
-    line feeds. Chunks made of plain pieces are put together from remembered pieces; pieces that are new go to the
-    library's model. Any other chunk goes to the library as it is.
+    Texts without a character of _UNSURE are lowered and cut in pieces by Arrow, many texts at once; each different
+    piece is looked up in a bounded memory, and those that are new go to the library, joined by blanks, as pieces never
+    reach over white space: the tokens that end a piece tell them apart again. All other texts, and all texts with any
+    other tokenizer, go to the library as they are.
     """
 
     def __init__(self, path: str):
@@ -44,46 +47,76 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         size = self.tokenizer.get_vocab_size()
         self.dtype = np.dtype("<u2") if size <= 2**16 else np.dtype("<u4")
-        self._single = [np.array(i, self.dtype).tobytes() for i in range(size)]
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
-
-    def _raw(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-
-    def _learn_pieces(self, new: set[str]) -> None:
-        raw, merge = self._single, self.tokenizer.model.tokenize
-        for piece in new:
-            # the tokenizer's alphabet stands for bytes; printable ASCII stands for itself
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(_ALPHABET)
-            self.pieces[piece] = b"".join([raw[t.id] for t in merge(shown)])
-
-    def _learn(self, new: set[str]) -> None:
-        if len(self.chunks) > REMEMBERED:
-            self.chunks = {"": b""}
-        if len(self.pieces) > REMEMBERED:
-            self.pieces = {}
-        plain: dict[str, list[str]] = {}
-        for chunk in new:
-            if _UNSURE.search(chunk) or not (chunk.isascii() or is_normalized("NFC", chunk)):
-                self.chunks[chunk] = self._raw(chunk)
-            else:
-                plain[chunk] = _PIECE.findall(chunk.lower())
-        if unknown := {p for pieces in plain.values() for p in pieces if p not in self.pieces}:
-            self._learn_pieces(unknown)
-        get = self.pieces.__getitem__
-        self.chunks.update((chunk, get(pieces[0]) if len(pieces) == 1 else b"".join(map(get, pieces))) for chunk, pieces in plain.items())
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian integers of `dtype`."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        found = [list(map(self.chunks.get, c)) for c in split]
-        gaps = [(c, f) for c, f in zip(split, found) if None in f]
-        if new := {x for c, f in gaps for x, v in zip(c, f) if v is None}:
-            self._learn(new)
-            for c, f in gaps:
-                f[:] = [self.chunks[x] if v is None else v for x, v in zip(c, f)]
-        return [b"".join(f) for f in found]
+        spec = json.loads(self.tokenizer.to_str())
+        normal = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+        cut = ((spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}])[0].get("pattern")
+        self.by_pieces = normal == _NORMALIZER and cut == {"Regex": _PIECE} and spec["model"].get("end_of_word_suffix") == _END_OF_PIECE
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(_END_OF_PIECE)]] = True
+        # what was met lately, and what was met before that; the older half goes when the newer is full
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def _library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for i in range(0, len(pieces), 500):
+            part = pieces[i : i + 500]
+            ids = self._library([" ".join(part)])[0]
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) != len(part):
+                raise ValueError("the tokenizer's pieces don't end as this module expects")
+            width, raw = self.dtype.itemsize, ids.tobytes()
+            bounds = [0, *(cuts * width).tolist()]
+            out += [raw[a:b] for a, b in zip(bounds, bounds[1:])]
+        return out
+
+    def _codes(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each of some different pieces."""
+        found = list(map(self.young.get, pieces))
+        if gaps := [i for i, v in enumerate(found) if v is None]:
+            for i in gaps:
+                found[i] = self.old.get(pieces[i])
+            new = [i for i in gaps if found[i] is None]
+            for i, v in zip(new, self._learn([pieces[i] for i in new])):
+                found[i] = v
+            if len(self.young) > REMEMBERED // 2:
+                self.old, self.young = self.young, {}
+            self.young.update((pieces[i], found[i]) for i in gaps)
+        return found
+
+    def _pieces(self, texts: pa.StringArray) -> list[np.ndarray]:
+        lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(texts), _APART, r" \0 "))
+        coded = lists.values.dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        blank = pieces.index("") if "" in pieces else None
+        codes = self._codes(pieces if blank is None else pieces[:blank] + pieces[blank + 1 :])
+        if blank is not None:
+            codes.insert(blank, b"")
+        known = np.frombuffer(b"".join(codes), self.dtype)
+        lengths = np.fromiter(map(len, codes), np.int64, len(codes)) // self.dtype.itemsize
+        at = coded.indices.to_numpy()
+        n = lengths[at]
+        ends = np.cumsum(n)
+        ids = known[np.arange(ends[-1] if len(ends) else 0) + np.repeat((np.cumsum(lengths) - lengths)[at] - (ends - n), n)]
+        bounds = np.append(0, ends)[lists.offsets.to_numpy()].tolist()
+        return [ids[a:b] for a, b in zip(bounds, bounds[1:])]
+
+    def encode(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
+        """For each text its ids. Takes some ten times TOGETHER bytes, or the longest text's, at a time."""
+        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(texts):
+            end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + TOGETHER, side="right")))
+            part = texts.slice(start, end - start)
+            sure = pc.invert(pc.match_substring_regex(part, _UNSURE)) if self.by_pieces else pa.array([False] * len(part))
+            plain = iter(self._pieces(pa.concat_arrays([part.filter(sure)])))
+            other = iter(self._library(part.filter(pc.invert(sure)).to_pylist()))
+            for is_sure in sure.to_pylist():
+                yield next(plain if is_sure else other)
+            start = end
 
 
 _encoders: dict[str, Encoder] = {}
@@ -95,11 +128,31 @@ def encoder(path: str) -> Encoder:
     return _encoders[path]
 
 
+#: Schemes of folders that pyarrow opens, by the scheme that Spark names them with.
+_SCHEMES = {"file": "file", "hdfs": "hdfs", "s3a": "s3", "s3": "s3", "gs": "gs", "abfs": "abfs", "abfss": "abfss"}
+
+
+def store_folder(spark: SparkSession, folder: str) -> str:
+    """The folder, created, as the URI under which pyarrow finds what Spark finds there.
+
+    Resolved by Hadoop, so a path without a scheme is the cluster's own and a view is what it stands for. Fails at once
+    where pyarrow has no file system for it.
+    """
+    where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(where)
+    uri = fs.resolvePath(where).toUri()
+    scheme = _SCHEMES.get(uri.getScheme())
+    if scheme is None:
+        raise ValueError(f"token files can't be written below {uri}: use a folder of one of {sorted(_SCHEMES)}")
+    return f"{scheme}://{uri.getAuthority() or ''}{uri.getPath()}"
+
+
 def _file_system(path: str):
-    """(file system, path in it); a folder of the cluster's own kind needs pyarrow's driver for it."""
+    """(file system, path in it)."""
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+    return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
 class SequenceWriter:
@@ -189,8 +242,10 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame
 
     Order: (doc_id, text), null ids first. Each document's ids end with END; a null or empty text is END alone. Beside
     each file of sequences stands its index (doc_id, start in the file, n_tokens). Texts are dealt once, by ranges of
-    ids, and a file holds a range. An empty table gives no file.
+    ids, and a file holds a range. An empty table gives no file. Rows that repeat an id, or an id and a text, are
+    documents of their own; other columns are ignored.
     """
+    folder = store_folder(docs.sparkSession, folder)
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("doc_id").isNull().alias("is_null"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     bounds, least = range_bounds(rows.select("doc_id"))
     if not least:
@@ -202,16 +257,14 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame
         end = np.array([END], code.dtype).tobytes()
         now, files = None, {}
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                encoded = code.encode(part.column("text").to_pylist())
-                for r, doc_id, is_null, ids in zip(part.column("r").to_pylist(), part.column("doc_id").to_pylist(), part.column("is_null").to_pylist(), encoded):
-                    if r != now:
-                        now, path = r, f"{folder}/{r:08d}-{uuid.uuid4().hex}.arrow"
-                        files[r] = path, SequenceWriter(path, code.dtype), []
-                    _, out, index = files[r]
-                    index.append((None if is_null else doc_id, out.total, len(ids) // code.dtype.itemsize + 1))
-                    out.add(ids + end)
+            encoded = code.encode(b.column("text").cast(pa.string()))
+            for r, doc_id, is_null, ids in zip(b.column("r").to_pylist(), b.column("doc_id").to_pylist(), b.column("is_null").to_pylist(), encoded):
+                if r != now:
+                    now, path = r, f"{folder}/{r:08d}-{uuid.uuid4().hex}.arrow"
+                    files[r] = path, SequenceWriter(path, code.dtype), []
+                _, out, index = files[r]
+                index.append((None if is_null else doc_id, out.total, len(ids) + 1))
+                out.add(ids.tobytes() + end)
         for r, (path, out, index) in files.items():
             out.close()
             system, where = _file_system(path + ".index")
