@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -43,3 +47,13 @@ def split_words(text: str | None) -> list[bytes]:
 def word_count(text):
     """Number of words `[^\\x20\\x09-\\x0D]+` in a text; 0 for null."""
     return text.map(lambda x: len(x.encode("utf-8", "surrogatepass").split()) if x else 0).astype("int64")
+
+
+def by_size(texts: pa.StringArray, most: int) -> Iterator[pa.StringArray]:
+    """Slices of `texts` in order, of about `most` bytes; a longer text is a slice of its own."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    start = 0
+    while start < len(texts):
+        end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, side="right")))
+        yield texts.slice(start, end - start)
+        start = end

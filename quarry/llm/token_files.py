@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, scratch, written
+from quarry.llm.common import by_size, documents, scratch, written
 from quarry.llm.fingerprint import range_bounds, range_of
 
 #: Ids of a sequence, sequences of a record batch, and the id that ends each document.
@@ -106,17 +106,12 @@ class Encoder:
 
     def encode(self, texts: pa.StringArray) -> Iterator[np.ndarray]:
         """For each text its ids. Takes some ten times TOGETHER bytes, or the longest text's, at a time."""
-        sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-        start = 0
-        while start < len(texts):
-            end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + TOGETHER, side="right")))
-            part = texts.slice(start, end - start)
+        for part in by_size(texts, TOGETHER):
             sure = pc.invert(pc.match_substring_regex(part, _UNSURE)) if self.by_pieces else pa.array([False] * len(part))
             plain = iter(self._pieces(pa.concat_arrays([part.filter(sure)])))
             other = iter(self._library(part.filter(pc.invert(sure)).to_pylist()))
             for is_sure in sure.to_pylist():
                 yield next(plain if is_sure else other)
-            start = end
 
 
 _encoders: dict[str, Encoder] = {}

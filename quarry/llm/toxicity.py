@@ -3,21 +3,20 @@
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from itertools import batched
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, remainder
+from quarry.llm.common import by_size, documents, remainder
 
 #: Labelled rows of each label that examples are taken from, about, at most and (of the more frequent label) at least;
 #: bounds the model's size and the driver's part.
-PER_LABEL, LEAST = 2000, 256
+PER_LABEL, LEAST = 1500, 256
 #: Numbers of neighbours of which cross-validation on the training fold chooses one.
 NEAREST = (16, 32, 64, 128, 256, 512)
 #: Weight of the even prior beside the neighbours' cosines, so that one chance neighbour doesn't decide.
@@ -25,40 +24,59 @@ PRIOR = 2.0
 #: Letters of a word's stem; longer words are counted under both.
 STEM = 4
 #: Examples of a block of the index, share of the examples from which a term's list is kept dense, and texts scored together.
-BLOCK, DENSE, TOGETHER = 128, 0.08, 64
-#: Characters from which a text's words are counted without a list of them all.
-LONG = 1_000_000
+BLOCK, DENSE, TOGETHER = 128, 0.05, 64
+#: Bytes of text whose terms are counted together.
+BYTES = 4_000_000
 
-_WORD = re.compile(r"[^\W\d_]+")
 
+def term_counts(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """(terms, text, term, n): the different terms of some texts, and for each text and each term that it has how often.
 
-def term_counts(text: str | None) -> Counter[str]:
-    """The terms of a whole text: each word (run of letters, lower case) as often as it occurs, and `abcd-` for each
-    different longer word that begins with abcd, which words with one stem share. None for null."""
-    if not text:
-        return Counter()
-    text = text.lower()
-    counts = Counter(_WORD.findall(text) if len(text) < LONG else map(re.Match.group, _WORD.finditer(text)))
-    counts.update([w[:STEM] + "-" for w in counts if len(w) > STEM])
-    return counts
+    A text's terms are its words (runs of letters, lower case), as often as they occur, and `abcd-` for each different
+    longer word that begins with abcd, which words with one stem share. Null has none. Takes some ten times the
+    texts' bytes.
+    """
+    lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL]+", " "))
+    coded = lists.values.dictionary_encode()
+    words = coded.dictionary.to_pylist()
+    text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    pairs, n = np.unique(text * len(words) + coded.indices.to_numpy(), return_counts=True)
+    text, word = np.divmod(pairs, max(1, len(words)))
+    if "" in words:  # stands before a leading blank
+        text, word, n = (x[word != words.index("")] for x in (text, word, n))
+    stems: dict[str, int] = {}
+    stem_of = np.array([stems.setdefault(w[:STEM] + "-", len(stems)) if len(w) > STEM else -1 for w in words], np.int64)
+    stem = stem_of[word]
+    pairs, stem_n = np.unique((text * len(stems) + stem)[stem >= 0], return_counts=True)
+    stem_text, stem = np.divmod(pairs, max(1, len(stems)))
+    return words + list(stems), np.append(text, stem_text), np.append(word, stem + len(words)), np.append(n, stem_n)
 
 
 class Vocabulary:
-    """All terms of the examples and their inverse document frequencies; turns a text into a TF-IDF vector of length 1."""
+    """All terms of the examples and their inverse document frequencies; turns texts into TF-IDF vectors of length 1.
+
+    A vector is (term ids in ascending order, weights (1 + ln tf) * idf over its length); empty without a known term.
+    """
 
     def __init__(self, terms: list[str], df: np.ndarray, rows: int):
         self.ids = {t: i for i, t in enumerate(terms)}
-        self.idf = np.log((rows + 1) / np.clip(df, 1, rows))
+        self.idf = np.log((rows + 1) / np.clip(df, 1, rows)) if len(df) else np.empty(0)
 
-    def vector(self, counts: Counter[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(term ids in ascending order, weights (1 + ln tf) * idf over the vector's length); empty without a known term."""
-        get = self.ids.get
-        ids = np.array([get(t, -1) for t in counts], np.int64)
-        n = np.fromiter(counts.values(), np.float64, len(counts))
-        order = np.argsort(ids)[int((ids < 0).sum()) :]
-        ids, n = ids[order], n[order]
-        x = (1 + np.log(n)) * self.idf[ids]
-        return ids, x / math.sqrt(float(x @ x)) if len(x) else x
+    def weighted(self, many: int, text: np.ndarray, term: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+        """The vectors of `many` texts from their counts: of text[i] the term id term[i], below 0 if unknown, n[i] times."""
+        text, term, n = (x[term >= 0] for x in (text, term, n))
+        order = np.argsort(text * len(self.ids) + term)
+        text, term = text[order], term[order]
+        x = (1 + np.log(n[order])) * self.idf[term]
+        x /= np.sqrt(np.bincount(text, x * x, many))[text]
+        cuts = np.searchsorted(text, np.arange(many + 1)).tolist()
+        return [(term[a:b], x[a:b]) for a, b in zip(cuts, cuts[1:])]
+
+    def vectors(self, texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for part in by_size(texts, BYTES):
+            terms, text, term, n = term_counts(part)
+            known = np.array([self.ids.get(t, -1) for t in terms], np.int64)
+            yield from self.weighted(len(part), text, known[term] if len(terms) else term, n)
 
 
 class BlockMaxIndex:
@@ -157,17 +175,17 @@ class Model:
     from leave-one-out votes of the examples among themselves; held-out rows have no part in them.
     """
 
-    def __init__(self, vocabulary: Vocabulary, examples: list[tuple[int, Counter[str], int]], numbers: tuple[int, int]):
-        """Examples (id, term counts, label); `numbers` of rows labelled 0 and 1 in the training fold."""
-        # like texts stand together, so that blocks differ: by their most frequent term, then by their number of terms
-        best = lambda c: max(((n, w) for w, n in c.items()), default=(0, ""))[1]
-        examples = sorted(examples, key=lambda e: (best(e[1]), sum(e[1].values()), e[0], sorted(e[1].items())))
+    def __init__(self, vocabulary: Vocabulary, ids: np.ndarray, toxic: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], numbers: tuple[int, int]):
+        """Examples' ids, labels and vectors; `numbers` of rows labelled 0 and 1 in the training fold."""
+        # like texts stand together, so that blocks differ: by their heaviest term, then by their number of terms
+        best = lambda v: int(v[0][v[1].argmax()]) if len(v[0]) else -1
+        order = sorted(range(len(ids)), key=lambda e: (best(vectors[e]), len(vectors[e][0]), ids[e], toxic[e], *(x.tobytes() for x in vectors[e])))
+        vectors = [vectors[e] for e in order]
         self.vocabulary = vocabulary
-        self.ids = np.array([e[0] for e in examples], np.int64)
-        self.toxic = np.array([e[2] for e in examples], np.float64)
-        vectors = [vocabulary.vector(c) for _, c, _ in examples]
+        self.ids = ids[order].astype(np.int64)
+        self.toxic = toxic[order].astype(np.float64)
         self.index = BlockMaxIndex(vectors, len(vocabulary.ids))
-        self.even = float(self.toxic.mean()) if len(examples) else 0.0
+        self.even = float(self.toxic.mean()) if len(ids) else 0.0
         self.plain = numbers[1] / max(1, sum(numbers))
         self.k, self.knots = NEAREST[0], None
         if 0 < self.even < 1:
@@ -194,13 +212,13 @@ class Model:
             if f1 > best:
                 best, self.k, self.knots = f1, k, (x, y)
 
-    def scores(self, texts: Iterable[str | None]) -> Iterator[tuple[float, list[int]]]:
+    def scores(self, texts: pa.StringArray) -> Iterator[tuple[float, list[int]]]:
         """(score, ids of the nearest examples) of each text. One that shares no term with an example gets the labels' frequency."""
-        for part in batched(texts, TOGETHER):
-            if not self.index.size:
-                yield from ((self.plain, []) for _ in part)
-                continue
-            for cosines, near in self.index.nearest([self.vocabulary.vector(term_counts(t)) for t in part], self.k):
+        if not self.index.size:
+            yield from ((self.plain, []) for _ in texts)
+            return
+        for part in batched(self.vocabulary.vectors(texts), TOGETHER):
+            for cosines, near in self.index.nearest(part, self.k):
                 score = self.plain if self.knots is None or not len(near) else float(np.interp(self._votes(cosines, near)[-1], *self.knots))
                 yield score, self.ids[near[:3]].tolist()
 
@@ -229,29 +247,50 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            counts = [term_counts(t) for t in b.column(0).to_pylist()]
-            lists = pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*lists, b.column(1), b.column(2)], names=["terms", "n", "doc_id", "toxic"])
-
-    rows = sample.select("text", "doc_id", "toxic").mapInArrow(counted, "terms array<string>, n array<long>, doc_id long, toxic int").collect()
-    examples = [(r["doc_id"], Counter(dict(zip(r["terms"], r["n"]))), r["toxic"]) for r in rows]
-    terms = sorted(set().union(*(c for _, c, _ in examples)))
-    known = spark.sparkContext.broadcast({w: i for i, w in enumerate(terms)})
+            start = 0
+            for part in by_size(b.column(0), BYTES):
+                terms, text, term, n = term_counts(part)
+                order = np.argsort(text, kind="stable")
+                cuts = pa.array(np.searchsorted(text[order], np.arange(len(part) + 1)).astype(np.int32))
+                named = pa.array(terms, pa.string()).take(pa.array(term[order]))
+                lists = pa.ListArray.from_arrays(cuts, named), pa.ListArray.from_arrays(cuts, pa.array(n[order].astype(np.int32)))
+                rest = (b.column(c).slice(start, len(part)) for c in (1, 2))
+                yield pa.RecordBatch.from_arrays([*lists, *rest], names=["terms", "n", "doc_id", "toxic"])
+                start += len(part)
+
+    held = sample.select("text", "doc_id", "toxic").mapInArrow(counted, "terms array<string>, n array<int>, doc_id long, toxic int").toArrow().combine_chunks()
+    # the examples' terms by rank, as arrays: the driver holds no object for each
+    lists = held["terms"].combine_chunks()
+    coded = lists.flatten().dictionary_encode()
+    if isinstance(coded, pa.ChunkedArray):
+        coded = coded.combine_chunks()
+    rank = pc.sort_indices(coded.dictionary).to_numpy()
+    terms = coded.dictionary.take(pa.array(rank)).to_pylist()
+    place = np.empty(len(terms), np.int64)
+    place[rank] = np.arange(len(terms))
+    counts = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), place[coded.indices.to_numpy()], held["n"].combine_chunks().flatten().to_numpy()
+    ids, toxic = held["doc_id"].to_numpy(), held["toxic"].to_numpy()
+    del held, lists, coded
+    known = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = known.value
-        df = np.zeros(len(ids) + 1, np.int64)  # the last: rows
+        df = np.zeros(len(ids) + 1, np.int64)  # the last is for other terms, then for the rows
+        rows = 0
         for b in batches:
-            for text in b.column(0).to_pylist():
-                df[[ids[t] for t in term_counts(text) if t in ids]] += 1
-            df[-1] += b.num_rows
+            for part in by_size(b.column(0), BYTES):
+                found, _, term, _ = term_counts(part)
+                np.add.at(df, [ids.get(t, -1) for t in found], np.bincount(term, minlength=len(found)))
+            rows += b.num_rows
+        df[-1] = rows
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "n"])
 
     df = np.zeros(len(terms) + 1, np.int64)
-    for r in texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
-        df[r["term"]] = r["n"]
-    return Model(Vocabulary(terms, df[:-1], int(df[-1])), examples, numbers)
+    found = texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    df[found["term"].to_numpy()] = found["n"].to_numpy()
+    vocabulary = Vocabulary(terms, df[:-1], int(df[-1]))
+    return Model(vocabulary, ids, toxic, vocabulary.weighted(len(ids), *counts), numbers)
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
@@ -265,7 +304,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     def scored(text):
         import pandas as pd
 
-        return pd.DataFrame(shared.value.scores(text), columns=["score", "evidence"])
+        return pd.DataFrame(shared.value.scores(pa.array(text, pa.string(), from_pandas=True)), columns=["score", "evidence"])
 
     rows = docs.select(F.struct("*").alias("row"))  # so that no column's name can clash
     rows = rows.select("row", scored(F.col("row.text").cast("string")).alias("of"))
@@ -293,7 +332,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def scored(text):
         import pandas as pd
 
-        return pd.Series([score for score, _ in shared.value.scores(text)], dtype="float64")
+        return pd.Series([score for score, _ in shared.value.scores(pa.array(text, pa.string(), from_pandas=True))], dtype="float64")
 
     rows = docs.select(F.struct("*").alias("row"))
     return rows.where(scored(F.col("row.text").cast("string")) < 0.5).select("row.*")

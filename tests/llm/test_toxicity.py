@@ -1,10 +1,11 @@
 import math
 import random
-import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import regex
 
 from quarry.llm import toxicity as tx
 from quarry.llm.common import documents, remainder_of
@@ -44,7 +45,7 @@ def test_index_skips_blocks():
 
 
 def plain_terms(text):
-    words = re.findall(r"[^\W\d_]+", (text or "").lower())
+    words = regex.findall(r"\p{L}+", (text or "").lower())
     return Counter(words) + Counter(w[:4] + "-" for w in set(words) if len(w) > 4)
 
 
@@ -156,4 +157,13 @@ def test_one_label_and_long_text(spark):
     docs = spark.createDataFrame([(1, "bad words"), (2, "some words"), (3, "word " * 400_000 + "bad")], "doc_id long, text string")
     labels = spark.createDataFrame([(i, 1) for i in (1, 2, 3)], "doc_id long, toxic int")
     assert {r.score for r in tx.toxicity_rows(docs, labels).collect()} == {1.0}
-    assert tx.term_counts("word " * 400_000 + "bad") == {"word": 400_000, "bad": 1}
+
+
+def test_terms():
+    texts = ["  The the, THEORY's theorem_theorem 12²x", None, "", "é ß 日本語 naïveté", "word " * 400_000 + "bad"]
+    terms, text, term, n = tx.term_counts(pa.array(texts))
+    got = [Counter() for _ in texts]
+    for i, t, k in zip(text.tolist(), term.tolist(), n.tolist()):
+        got[i][terms[t]] += k
+    assert got == [plain_terms(t) for t in texts] and len(set(zip(text, term))) == len(text)
+    assert [len(x) for x in tx.term_counts(pa.array([], pa.string()))] == [0, 0, 0, 0]
