@@ -35,7 +35,7 @@ def test_index_is_exact(size, k):
 def test_index_skips_blocks():
     # each block has a topic of its own; one term is in a few examples of all blocks
     rng = random.Random(5)
-    vectors = [sparse({1 + 8 * (e // tx.BLOCK) + i: 1.0 for i in rng.sample(range(8), 3)} | ({0: 0.3} if e % 20 == 0 else {})) for e in range(2560)]
+    vectors = [sparse({1 + 8 * (e // tx.BLOCK) + i: 1.0 for i in rng.sample(range(8), 3)} | ({0: 0.3} if e % 32 == 0 else {})) for e in range(2560)]
     index = tx.BlockMaxIndex(vectors, 161)
     read, real = [], index._spread
     index._spread = lambda start, length: read.append(int(length.sum())) or real(start, length)
