@@ -13,6 +13,8 @@ from quarry.llm.common import SPACES, documents, written
 
 SLOTS = 4
 MOST_KICKS = 200
+#: Digests that a task's index holds, about.
+HELD = 250_000
 
 
 class CuckooIndex:
@@ -134,16 +136,26 @@ def _rank(row) -> tuple:
     return n_chars, doc_id is not None, -(doc_id or 0), -tag
 
 
-def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Groups of the rows of one task: a row (digest, n_chars, doc_id, tag, n) for each live digest."""
+def _fold(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Groups of the rows of one task: a row (digest, n_chars, doc_id, tag, n) for each live digest.
+
+    With `most`, the groups are handed on and forgotten whenever there are so many.
+    """
     index = CuckooIndex()
     for b in batches:
+        if most and len(index) > most:
+            yield from _groups(index)
+            index = CuckooIndex()
         for key, n_chars, doc_id, tag, n in zip(*(b.column(c).to_pylist() for c in ("digest", "n_chars", "doc_id", "tag", "n"))):
             entry, old = (n_chars, doc_id, tag), index.get(key)
             if old is None:
                 index.put(key, (entry, n))
             else:
                 index.put(key, (max(old[0], entry, key=_rank), old[1] + n))
+    yield from _groups(index)
+
+
+def _groups(index: CuckooIndex) -> Iterator[pa.RecordBatch]:
     entries = list(index.items())
     for i in range(0, len(entries), 20_000):
         part = entries[i : i + 20_000]
@@ -171,28 +183,32 @@ def dedup_rows(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
     rows = rows.mapInArrow(_digests, "doc_id long, n_chars long, digest binary, text_hash long").withColumn("tag", F.monotonically_increasing_id())
     rows = written(rows, "digests")
-    local = rows.select("digest", "n_chars", "doc_id", "tag", F.lit(1).cast("long").alias("n")).mapInArrow(_fold, GROUP_SCHEMA)
-    groups = local.repartition("digest").mapInArrow(_fold, GROUP_SCHEMA)
+    local = rows.select("digest", "n_chars", "doc_id", "tag", F.lit(1).cast("long").alias("n")).mapInArrow(lambda it: _fold(it, HELD), GROUP_SCHEMA)
+    tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // HELD))
+    groups = local.repartition(tasks, "digest").mapInArrow(_fold, GROUP_SCHEMA)
     groups = groups.select("digest", F.col("doc_id").alias("keep_id"), F.col("tag").alias("keep_tag"), F.col("n").alias("group_size"))
     return rows.join(groups.hint("merge"), "digest").select("doc_id", "n_chars", "digest", "text_hash", "keep_id", "group_size", (F.col("tag") == F.col("keep_tag")).alias("kept"))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of `docs` named by `kept` (doc_id, text_hash), with all their columns; one for each row of `kept`.
+def keep_rows(docs: DataFrame, fate: DataFrame) -> DataFrame:
+    """The rows of `docs` that `fate` (doc_id, text_hash, kept), a row for each of them, keeps; all columns stay.
 
-    Rows that repeat both the id and the text are told apart by nothing, so one of them is taken.
+    Rows that repeat both the id and the text are told apart by nothing that `fate` holds: if one of them is kept, the
+    one whose columns have the smallest hash stays. What is compared with the rows are the keys that go and those that
+    repeat, so the texts are moved only where these are too many for the optimizer to send to every task.
     """
+    key = lambda i, h: (F.coalesce(i.cast("long"), F.lit(0)).alias("id"), i.isNull().alias("no_id"), h.alias("hash"))
+    keys = fate.groupBy(*key(F.col("doc_id"), F.col("text_hash"))).agg(F.max("kept").alias("kept"), F.count("*").alias("n"))
+    keys = written(keys.where("NOT kept OR n > 1"), "fate")
     rows = docs.select(F.struct("*").alias("row"))  # so that no column's name can clash
-    kept = kept.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))
-    on = F.col("row.doc_id").cast("long").eqNullSafe(F.col("id")) & (F.xxhash64(F.col("row.text").cast("string")) == F.col("hash"))
-    found = rows.join(kept, on, "left_semi").select("row.*")
-    repeats = docs.groupBy("doc_id").count().where("count > 1").limit(1)
-    return found.dropDuplicates(["doc_id", "text"]) if repeats.head() else found
+    rows = rows.select("row", *key(F.col("row.doc_id"), F.xxhash64(F.col("row.text").cast("string"))))
+    repeated = rows.join(keys.where("kept"), ["id", "no_id", "hash"], "left_semi").groupBy("id", "no_id", "hash").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+    return rows.join(keys, ["id", "no_id", "hash"], "left_anti").select("row").union(repeated.select("row")).select("row.*")
 
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """`docs` without copies, with all its columns; see `dedup_rows` for which row stays."""
-    return keep_rows(docs, dedup_rows(docs).where("kept"))
+    return keep_rows(docs, dedup_rows(docs).select("doc_id", "text_hash", "kept"))
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

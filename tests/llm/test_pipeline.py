@@ -6,8 +6,8 @@ import corpus_pipeline as cp
 from quarry.llm.common import documents, written
 from quarry.llm.packing import CAPACITY
 from tests.llm.test_exact_dedup import plain
-from tests.llm.test_near_dedup import plain_components, plain_print
 from tests.llm.test_packing import check
+from tests.llm.test_similar_sets import plain_kept
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -29,8 +29,7 @@ def test_stages(spark):
     groups = plain((r.doc_id, r.text) for r in clean)
     assert {r.doc_id for r in exact} == {min(g)[1] for g in groups.values()} and len(exact) == len(groups)
 
-    parts = plain_components({r.doc_id: plain_print(r.text) for r in exact})
-    assert sorted(r.doc_id for r in near) == sorted(set(parts.values()))
+    assert sorted(r.doc_id for r in near) == plain_kept({r.doc_id: r.text for r in exact})[0]
 
     copies = Counter(r.doc_id for r in mixed)
     assert set(copies) <= {r.doc_id for r in near} and max(copies.values()) <= 2
