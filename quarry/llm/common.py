@@ -57,3 +57,9 @@ def by_size(texts: pa.StringArray, most: int) -> Iterator[pa.StringArray]:
         end = max(start + 1, int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + most, side="right")))
         yield texts.slice(start, end - start)
         start = end
+
+
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; gives back the memory that Arrow keeps for later, as a worker outlives its task."""
+    yield from batches
+    pa.default_memory_pool().release_unused()

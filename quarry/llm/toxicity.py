@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from itertools import batched
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -301,10 +302,10 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("score double, evidence array<long>")
-    def scored(text):
-        import pandas as pd
-
-        return pd.DataFrame(shared.value.scores(pa.array(text, pa.string(), from_pandas=True)), columns=["score", "evidence"])
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for text in parts:
+            yield pd.DataFrame(shared.value.scores(pa.array(text, pa.string(), from_pandas=True)), columns=["score", "evidence"])
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.struct("*").alias("row"))  # so that no column's name can clash
     rows = rows.select("row", scored(F.col("row.text").cast("string")).alias("of"))
@@ -329,10 +330,10 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
-    def scored(text):
-        import pandas as pd
-
-        return pd.Series([score for score, _ in shared.value.scores(pa.array(text, pa.string(), from_pandas=True))], dtype="float64")
+    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for text in parts:
+            yield pd.Series([score for score, _ in shared.value.scores(pa.array(text, pa.string(), from_pandas=True))], dtype="float64")
+        pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.struct("*").alias("row"))
     return rows.where(scored(F.col("row.text").cast("string")) < 0.5).select("row.*")
