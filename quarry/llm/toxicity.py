@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import by_size, documents, remainder
+from quarry.llm.common import by_size, documents, remainder, trimmed
 
 #: Labelled rows of each label that examples are taken from, about, at most and (of the more frequent label) at least;
 #: bounds the model's size and the driver's part.
@@ -27,7 +27,7 @@ STEM = 4
 #: Examples of a block of the index, share of the examples from which a term's list is kept dense, and texts scored together.
 BLOCK, DENSE, TOGETHER = 128, 0.05, 64
 #: Bytes of text whose terms are counted together.
-BYTES = 4_000_000
+BYTES = 2_000_000
 
 
 def term_counts(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
                 yield pa.RecordBatch.from_arrays([*lists, *rest], names=["terms", "n", "doc_id", "toxic"])
                 start += len(part)
 
-    held = sample.select("text", "doc_id", "toxic").mapInArrow(counted, "terms array<string>, n array<int>, doc_id long, toxic int").toArrow().combine_chunks()
+    held = sample.select("text", "doc_id", "toxic").mapInArrow(lambda it: trimmed(counted(it)), "terms array<string>, n array<int>, doc_id long, toxic int").toArrow().combine_chunks()
     # the examples' terms by rank, as arrays: the driver holds no object for each
     lists = held["terms"].combine_chunks()
     coded = lists.flatten().dictionary_encode()
@@ -288,7 +288,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(df[at])], names=["term", "n"])
 
     df = np.zeros(len(terms) + 1, np.int64)
-    found = texts.select("text").mapInArrow(frequencies, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    found = texts.select("text").mapInArrow(lambda it: trimmed(frequencies(it)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df[found["term"].to_numpy()] = found["n"].to_numpy()
     vocabulary = Vocabulary(terms, df[:-1], int(df[-1]))
     return Model(vocabulary, ids, toxic, vocabulary.weighted(len(ids), *counts), numbers)
@@ -303,9 +303,8 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("score double, evidence array<long>")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for text in parts:
-            yield pd.DataFrame(shared.value.scores(pa.array(text, pa.string(), from_pandas=True)), columns=["score", "evidence"])
-        pa.default_memory_pool().release_unused()
+        score = lambda text: pd.DataFrame(shared.value.scores(pa.array(text, pa.string(), from_pandas=True)), columns=["score", "evidence"])
+        return trimmed(map(score, parts))
 
     rows = docs.select(F.struct("*").alias("row"))  # so that no column's name can clash
     rows = rows.select("row", scored(F.col("row.text").cast("string")).alias("of"))
@@ -331,9 +330,8 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     @F.pandas_udf("double")
     def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for text in parts:
-            yield pd.Series([score for score, _ in shared.value.scores(pa.array(text, pa.string(), from_pandas=True))], dtype="float64")
-        pa.default_memory_pool().release_unused()
+        score = lambda text: pd.Series([s for s, _ in shared.value.scores(pa.array(text, pa.string(), from_pandas=True))], dtype="float64")
+        return trimmed(map(score, parts))
 
     rows = docs.select(F.struct("*").alias("row"))
     return rows.where(scored(F.col("row.text").cast("string")) < 0.5).select("row.*")
