@@ -39,12 +39,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def _canonical(edges: DataFrame) -> DataFrame:
-    """Each edge once, from the larger node to the smaller, without loops.
-
-    Dealt by both ends: a join on one end stands before it, and Spark splits a node with very many links there only
-    if nothing after it needs the node's rows together.
-    """
-    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").repartition("a", "b").distinct()
+    """Each edge once, from the larger node to the smaller, without loops; tasks drop their own repeats before edges are dealt."""
+    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def _with_least(edges: DataFrame, side: str, hubs: list[int]) -> DataFrame:
