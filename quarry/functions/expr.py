@@ -14,6 +14,8 @@ from typing import Any
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from quarry.errors import QueryError
+
 Resolver = Callable[[str], Column]
 
 
@@ -338,7 +340,12 @@ def compile_expr(e: Expr, resolve: Resolver, aggregate: Callable[[Agg], Column]
                 return ~found if negated else found
             case Func(name, args):
                 first, *rest = map(go, args)
-                return getattr(F, name)(first, *rest) if hasattr(F, name) and name != "like" else getattr(first, name)(*(a.value for a in args[1:]))
+                if not hasattr(F, name) or name == "like":
+                    return getattr(first, name)(*(a.value for a in args[1:]))
+                try:
+                    return getattr(F, name)(first, *rest)
+                except TypeError:  # where Python's form wants a plain value, SQL's takes a literal
+                    return F.call_function(name, first, *rest)
             case Case(when, otherwise):
                 out = reduce(lambda c, w: c.when(go(w[0]), go(w[1])), when, F)
                 return out if otherwise is None else out.otherwise(go(otherwise))
@@ -360,6 +367,12 @@ def compile_expr(e: Expr, resolve: Resolver, aggregate: Callable[[Agg], Column]
         if x.where is not None:
             value = F.when(go(x.where), value)
         if x.distinct:
+            if x.fn in ("min", "max"):
+                return _AGGREGATES[x.fn](value)
+            if x.fn in ("avg", "mean"):
+                return F.try_divide(F.sum_distinct(value), F.count_distinct(value))
+            if x.fn not in ("count", "sum"):
+                raise QueryError(f"{x.fn} can't be taken of distinct values")
             return F.count_distinct(value) if x.fn == "count" else F.sum_distinct(value)
         return _AGGREGATES[x.fn](value)
 

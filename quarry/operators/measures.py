@@ -27,6 +27,7 @@ class AggFrame:
     key: tuple  # equal for equal inputs and groups
     scopes: tuple[Scope, ...] = ()
     version: object = None
+    held: tuple = field(default=(), compare=False)
     outputs: tuple[str, ...] = field(default=())
 
     def to_df(self) -> DataFrame:

@@ -185,6 +185,10 @@ class JoinFrame(Operation):
             on.append(compile_expr(self.where, resolve))
         if not on:
             return df.crossJoin(right)
+        if self.how == "left_mark" and self.where is not None:
+            # whether a row has a match under the whole condition; null counts as none
+            mark = lambda how, met: df.join(right, on, how).withColumn("mark", F.lit(met))
+            return mark("left_semi", True).union(mark("left_anti", False))
         if self.how == "left_mark":
             keys = right.select(*map(resolve, self.right_on)).distinct().withColumn("mark", F.lit(True))
             names = [f"__key{i}" for i in range(len(self.right_on))]

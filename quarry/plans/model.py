@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,10 @@ class PlannedScan:
     version: Version | None = None
 
 
+#: What each session's catalog holds: (tables, paths of rollups).
+_published: WeakKeyDictionary[SparkSession, tuple] = WeakKeyDictionary()
+
+
 class DataModel:
     """Queries name measures, groups and filters; the model finds the joins, shares scans and uses rollups.
 
@@ -182,10 +187,14 @@ class DataModel:
             # only rollups of the column's own table have all its values and no others
             has = lambda *parts: lambda v: v.base == table and all((q.column, p) in v.columns for p in parts) and all(v.keeps_rows)
             for v in self.store.versions_where(has(None), q.pre_agg_valid_secs):
+                if not self.store.files.exists(v.path):
+                    continue
                 scan = self.scan_pre_agg(v)
                 key = scan.resolve(q.column)
                 return scan.frame.select(key.alias(q.column)).distinct() if distinct else scan.frame.agg(*ends(key, key))
             for v in [] if distinct else self.store.versions_where(has("min", "max"), q.pre_agg_valid_secs):
+                if not self.store.files.exists(v.path):
+                    continue
                 scan = self.scan_pre_agg(v)
                 return scan.frame.agg(*ends(F.col(v.columns[q.column, "min"]), F.col(v.columns[q.column, "max"])))
         df = self.scan_table(table)
@@ -243,6 +252,10 @@ class DataModel:
         return df
 
     def _publish_catalog(self) -> None:
+        """Makes the session's catalog this model's, unless it is already."""
+        held = (tuple(sorted(self.tables)), tuple(sorted((n, v.path) for n, v in self.store.current.items())) if self.store else ())
+        if _published.get(self.spark) == held:
+            return
         self.spark.sql("CREATE DATABASE IF NOT EXISTS pre_agg")
         self.spark.sql("CREATE DATABASE IF NOT EXISTS information_schema")
         written = sorted(self.store.current) if self.store else []
@@ -253,8 +266,10 @@ class DataModel:
             path = self.store.current[name].path
             self.spark.sql(f"CREATE OR REPLACE VIEW pre_agg.`{name}` AS SELECT * FROM parquet.`{path}`")
         listed = [("public", t, "BASE TABLE") for t in sorted(self.tables)] + [("pre_agg", n, "VIEW") for n in written]
-        rows = ", ".join(str(r) for r in listed)
+        quoted = lambda x: "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
+        rows = ", ".join(f"({', '.join(map(quoted, r))})" for r in listed)
         self.spark.sql(f"CREATE OR REPLACE VIEW information_schema.tables AS SELECT * FROM VALUES {rows} AS t(table_schema, table_name, table_type)")
+        _published[self.spark] = held
 
     # pre-aggregations
 

@@ -65,17 +65,17 @@ class Recorder:
         return self._record(ops.DistinctOn(*(tuple(map(col, x)) for x in (on, select, sort))))
 
     def union(self, other: DataFrame | Recorder) -> Recorder:
-        return self._record(ops.Union(_frame(other), False, id(other)))
+        return self._record(ops.Union(other := _frame(other), False, id(other)))
 
     def union_distinct(self, other: DataFrame | Recorder) -> Recorder:
-        return self._record(ops.Union(_frame(other), True, id(other)))
+        return self._record(ops.Union(other := _frame(other), True, id(other)))
 
     def window(self, *exprs: Expr) -> Recorder:
         return self._record(ops.WindowColumns(exprs))
 
     def join(self, right: DataFrame | Recorder, how: str = "inner", left_on=(), right_on=(), where: Expr | None = None) -> Recorder:
         """Joins a frame; its columns go by the names of its alias."""
-        return self._record(ops.JoinFrame(_frame(right), how, tuple(left_on), tuple(right_on), where, id(right)))
+        return self._record(ops.JoinFrame(right := _frame(right), how, tuple(left_on), tuple(right_on), where, id(right)))
 
     def aggregate(self, groups, aggs) -> Recorder:
         if isinstance(groups, FilterSelection):
@@ -148,8 +148,9 @@ class Recorder:
         final = self._source if planned.version is not None else lambda e: e
         groups = tuple(map(output_name, self.groups))
         aggs = tuple(a if isinstance(a, Alias) else Alias(a, output_name(a)) for a in self.aggs)
+        # frames are told apart by where they are held, so the result holds them
         key = (planned.key, tuple(map(repr, self.ops)), groups, tuple(map(repr, self.groups)))
-        return AggFrame(df, groups, tuple(final(g.of if isinstance(g, Alias) else g) for g in self.groups), tuple(final(a) for a in aggs), resolve, planned.aggregate, key, tuple(self.scopes), planned.version)
+        return AggFrame(df, groups, tuple(final(g.of if isinstance(g, Alias) else g) for g in self.groups), tuple(final(a) for a in aggs), resolve, planned.aggregate, key, tuple(self.scopes), planned.version, tuple(self.ops))
 
 
 def _frame(x: DataFrame | Recorder) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.functions.columns import allow, exclude
-from quarry.functions.expr import Col, Func, Lit, avg, case, col, count, count_distinct, func, lit, max_, min_, nullif, stddev, stddev_pop, sum_, var_pop, var_samp
+from quarry.functions.expr import Agg, Col, Func, Lit, avg, case, col, count, count_distinct, func, lit, max_, min_, nullif, stddev, stddev_pop, sum_, var_pop, var_samp
 from quarry.plans.joins import Join
 from quarry.plans.model import DataModel
 from quarry.sources import tables
@@ -162,7 +162,7 @@ add("agg_inner_edge", _inner, "SELECT toxic AS labels__toxic, count(documents.do
 # filters
 FILTERS = {
     "eq": (FLAG, "=", "R", "l_returnflag = 'R'"), "ne": (FLAG, "ne", "R", "l_returnflag <> 'R'"), "gt": ("lineitem.l_quantity", ">", 25, "l_quantity > 25"),
-    "gte": ("lineitem.l_quantity", "gte", 25, "l_quantity >= 25"), "lt": ("lineitem.l_shipdate", "lt", "1995-01-01", "l_shipdate < TIMESTAMP '1995-01-01'"),
+    "gte": ("lineitem.l_quantity", "gte", 25, "l_quantity >= 25"), "lt": ("lineitem.l_quantity", "lt", 13, "l_quantity < 13"),
     "lte": ("lineitem.l_discount", "<=", 0.05, "l_discount <= 0.05"), "in": (FLAG, "in", ["A", "N"], "l_returnflag IN ('A', 'N')"), "not_in": (FLAG, "not_in", ["A"], "l_returnflag NOT IN ('A')"),
 }
 for _op, (_c, _sign, _v, _sql) in FILTERS.items():
@@ -213,7 +213,7 @@ VIEW = ["lineitem.l_orderkey", "lineitem.l_linenumber", "lineitem.l_partkey", "l
 VIEW_SQL = "l_orderkey AS lineitem__l_orderkey, l_linenumber AS lineitem__l_linenumber, l_partkey AS lineitem__l_partkey, l_suppkey AS lineitem__l_suppkey"
 ALL = [[c, "asc"] for c in VIEW]
 agg("view_single", {"columns": ["orders.o_orderkey", "orders.o_orderstatus"], "filters": _where("orders.o_totalprice", ">", 490000), "limit": EVERY_ROW}, "SELECT o_orderkey AS orders__o_orderkey, o_orderstatus AS orders__o_orderstatus FROM orders WHERE o_totalprice > 490000")
-agg("view_join", {"columns": ["orders.o_orderkey", "customer.c_name", REGION], "sorts": [["orders.o_orderkey", "asc"]], "limit": 500}, "SELECT o_orderkey AS orders__o_orderkey, c_name AS customer__c_name, r_name AS region__r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey ORDER BY 1 LIMIT 500")
+agg("view_join", {"columns": ["orders.o_orderkey", "customer.c_name", REGION], "sorts": [["orders.o_orderkey", "asc"]], "limit": EVERY_ROW}, "SELECT o_orderkey AS orders__o_orderkey, c_name AS customer__c_name, r_name AS region__r_name FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey ORDER BY 1")
 agg("view_filter_join", {"columns": ["orders.o_orderkey", "orders.o_totalprice"], "filters": {"and": [_where(REGION, "=", "ASIA"), _where("orders.o_totalprice", ">", 480000)]}, "limit": EVERY_ROW}, "SELECT o_orderkey AS orders__o_orderkey, o_totalprice AS orders__o_totalprice FROM orders LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA' AND o_totalprice > 480000")
 agg("view_sort_limit", {"columns": VIEW, "sorts": [[VIEW[0], "desc"], *ALL[1:]], "limit": 100, "offset": 5}, f"SELECT {VIEW_SQL} FROM lineitem ORDER BY 1 DESC, 2, 3, 4 LIMIT 100 OFFSET 5")
 
@@ -238,7 +238,7 @@ chain("op_union_distinct", lambda m: m.table("region").union_distinct(m.table("r
 chain("op_sort_limit", lambda m: m.table("part").sort(Col("part.p_retailprice").desc(), "part.p_partkey").limit(3, 10), "SELECT * FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10 OFFSET 3")
 chain("op_window_rank", lambda m: m.table("supplier").window(func("rank").over(["supplier.s_nationkey"], [Col("supplier.s_acctbal").desc(), Col("supplier.s_suppkey")]).alias("place")), "SELECT *, rank() OVER (PARTITION BY s_nationkey ORDER BY s_acctbal DESC, s_suppkey) AS place FROM supplier")
 chain("op_window_frame", lambda m: m.table("supplier").window(sum_("supplier.s_suppkey").over(["supplier.s_nationkey"], [Col("supplier.s_suppkey")], rows=(-1, 0)).alias("last_two")), "SELECT *, CAST(sum(s_suppkey) OVER (PARTITION BY s_nationkey ORDER BY s_suppkey ROWS BETWEEN 1 PRECEDING AND CURRENT ROW) AS BIGINT) AS last_two FROM supplier")
-chain("op_window_lag", lambda m: m.table("orders").filter(col("orders.o_custkey") < 100).window(Func("lag", (Col("orders.o_orderkey"), Lit(1))).over(["orders.o_custkey"], [Col("orders.o_orderkey")]).alias("before")).aggregate(["orders.o_custkey"], [count("before").alias("n"), min_("before").alias("first")]), "SELECT o_custkey AS orders__o_custkey, count(b) AS n, min(b) AS first FROM (SELECT o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders WHERE o_custkey < 100) GROUP BY 1")
+chain("op_window_lag", lambda m: m.table("orders").window(Func("lag", (Col("orders.o_orderkey"), Lit(1))).over(["orders.o_custkey"], [Col("orders.o_orderkey")]).alias("before")).aggregate(["orders.o_custkey"], [count("before").alias("n"), min_("before").alias("first")]), "SELECT o_custkey AS orders__o_custkey, count(b) AS n, min(b) AS first FROM (SELECT o_custkey, lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders) GROUP BY 1")
 
 
 def _keyed(m: DataModel, name: str = "big") -> DataFrame:
@@ -257,6 +257,73 @@ chain("op_join_theta", lambda m: m.table("nation").join(m.tables["region"].alias
 add("sql_passthrough", lambda spark, sf: model(spark, sf).sql("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus)"), "SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY ROLLUP (o_orderstatus)")
 add("sql_information_schema", lambda spark, sf: rollup_model(spark, sf).sql("SELECT table_name FROM information_schema.tables WHERE table_schema = 'pre_agg'"), "SELECT unnest(['by_flag', 'by_flag_status', 'by_region']) AS table_name")
 
+# values and kinds of a measured column that the tables don't have
+
+NULL_SPREAD = [sum_("held.n"), stddev("held.n"), var_samp("held.n"), stddev_pop("held.n"), var_pop("held.n")]
+
+
+@lru_cache(maxsize=8)
+def _with_nulls(spark: SparkSession, sf_dir: str) -> DataModel:
+    """Lines whose quantity is null for one flag, and a rollup of them."""
+    lines = model(spark, sf_dir).tables["lineitem"]
+    held = lines.select(F.col("l_returnflag").alias("flag"), F.when(F.col("l_returnflag") != "R", F.col("l_quantity")).alias("n"))
+    m = DataModel(spark, {"held": held}, [], [PreAggregation("held_by_flag", ("held.flag",), {"held.n": ("sum", "std", "var")})], scratch(spark, "rollups"))
+    m.add_measure("spread", lambda dm, q: dm.table("held").aggregate(q.groups_for("*"), [R6(e).alias(f"s{i}") for i, e in enumerate(NULL_SPREAD)]))
+    m.write_pre_aggs()
+    return m
+
+
+_N = "CASE WHEN l_returnflag <> 'R' THEN l_quantity END"
+agg("preagg_stddev_nulls", {"measures": ["spread"], "groups": ["held.flag"]}, f"SELECT l_returnflag AS held__flag, {', '.join(f'round({f}({_N}), 6) AS s{i}' for i, f in enumerate(('sum', 'stddev_samp', 'var_samp', 'stddev_pop', 'var_pop')))} FROM lineitem GROUP BY 1", _with_nulls)
+
+
+@lru_cache(maxsize=8)
+def _without_rollup(spark: SparkSession, sf_dir: str) -> DataModel:
+    """A model whose only rollup was written and is gone."""
+    m = DataModel(spark, {"orders": model(spark, sf_dir).tables["orders"]}, [], [PreAggregation("by_status", ("orders.o_orderstatus",), {"orders.o_totalprice": ("min", "max")})], scratch(spark, "rollups"))
+    m.write_pre_aggs()
+    m.store.files.delete(m.store.current["by_status"].path)
+    return m
+
+
+agg("colvals_preagg_gone", {"column": "orders.o_orderstatus"}, "SELECT DISTINCT o_orderstatus AS orders__o_orderstatus FROM orders", _without_rollup)
+agg("colvals_range_preagg_gone", {"column": "orders.o_totalprice", "mode": "range"}, "SELECT min(o_totalprice) AS min, max(o_totalprice) AS max FROM orders", _without_rollup)
+chain("op_join_mark_where", lambda m: m.table("customer").join(_keyed(m), "left_mark", ["customer.c_custkey"], ["big.key"], where=col("big.order") > col("customer.c_custkey") * 5).aggregate(["mark"], [count().alias("n")]), "SELECT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000 AND o_orderkey > c_custkey * 5) AS mark, count(*) AS n FROM customer GROUP BY 1")
+chain("op_distinct_aggregates", lambda m: m.table("lineitem").aggregate([FLAG], [Agg(f, col("lineitem.l_linenumber"), distinct=True).alias(f"{f}_of") for f in ("count", "sum", "min", "max", "avg")]), BY_FLAG.format("count(DISTINCT l_linenumber) AS count_of, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS sum_of, min(l_linenumber) AS min_of, max(l_linenumber) AS max_of, avg(DISTINCT l_linenumber) AS avg_of", ""))
+chain("op_cast", lambda m: m.table("orders").with_columns(whole=col("orders.o_totalprice").cast("bigint")).aggregate(["orders.o_orderstatus"], [sum_("whole").alias("whole")]), "SELECT o_orderstatus AS orders__o_orderstatus, CAST(sum(CAST(trunc(o_totalprice) AS BIGINT)) AS BIGINT) AS whole FROM orders GROUP BY 1")
+chain("op_median", lambda m: m.table("orders").aggregate(["orders.o_orderpriority"], [Agg("median", col("orders.o_custkey")).alias("middle")]), "SELECT o_orderpriority AS orders__o_orderpriority, median(o_custkey) AS middle FROM orders GROUP BY 1")
+chain("func_strings", lambda m: m.table("part").with_columns(word=func("upper", func("substring", col("part.p_name"), lit(1), lit(3))), size=func("length", func("concat", col("part.p_brand"), lit("-"), func("lower", col("part.p_type"))))).aggregate(["word"], [sum_("size").alias("size")]), "SELECT upper(substr(p_name, 1, 3)) AS word, CAST(sum(length(p_brand || '-' || lower(p_type))) AS BIGINT) AS size FROM part GROUP BY 1")
+chain("func_dates", lambda m: m.table("orders").with_columns(year=func("year", col("orders.o_orderdate")), month=func("date_trunc", lit("month"), col("orders.o_orderdate"))).aggregate(["year"], [count_distinct("month").alias("months"), count().alias("n")]), "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(DISTINCT date_trunc('month', o_orderdate)) AS months, count(*) AS n FROM orders GROUP BY 1")
+chain("func_arrays_and_maps", lambda m: m.table("part").with_columns(words=func("size", func("array_distinct", func("split", col("part.p_name"), lit(" ")))), kind=func("element_at", func("create_map", lit("b"), col("part.p_brand")), lit("b"))).aggregate(["kind"], [sum_("words").alias("words")]), "SELECT p_brand AS kind, CAST(sum(len(list_distinct(string_split(p_name, ' ')))) AS BIGINT) AS words FROM part GROUP BY 1")
+for _set, _rest in (("INTERSECT", ""), ("EXCEPT", "")):
+    _statement = f"SELECT n_nationkey AS k FROM nation {_set} SELECT c_nationkey FROM customer WHERE c_acctbal > 9900"
+    add(f"sql_{_set.lower()}", lambda spark, sf, s=_statement: model(spark, sf).sql(s), _statement)
+
+
+def _from(kind: str, **options) -> Query:
+    """The nations, written as files of one kind and read as a table of a model."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        path, nations = scratch(spark, f"nations_{kind}"), model(spark, sf_dir).tables["nation"]
+        nations.write.format(kind).options(**options).save(path)
+        m = DataModel(spark, {"nation": tables.source(spark, kind, path, **options, **({"inferSchema": "true"} if kind == "csv" else {})), "region": model(spark, sf_dir).tables["region"]}, [Join("nation", "region", ("n_regionkey",), ("r_regionkey",))])
+        return m.table("nation").aggregate([REGION], [count("nation.n_name").alias("n"), min_("nation.n_nationkey").alias("first")]).build().to_df()
+
+    return run
+
+
+for _kind, _options in (("csv", {"header": "true"}), ("json", {}), ("orc", {})):
+    add(f"source_{_kind}", _from(_kind, **_options), f"SELECT r_name AS region__r_name, count(n_name) AS n, CAST(min(n_nationkey) AS {'BIGINT' if _kind == 'json' else 'INTEGER'}) AS first FROM nation LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY 1")
+
+
+def _memory(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = DataModel(spark, {"kinds": tables.memory(spark, [("O", "open"), ("F", "filled")], "k string, name string"), "orders": model(spark, sf_dir).tables["orders"]}, [Join("orders", "kinds", ("o_orderstatus",), ("k",))])
+    return m.table("orders").aggregate(["kinds.name"], [count().alias("n")]).build().to_df()
+
+
+add("source_memory", _memory, "SELECT CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'F' THEN 'filled' END AS kinds__name, count(*) AS n FROM orders GROUP BY 1")
+
+
 FLAGSHIP = {"measures": ["revenue", "orders_seen"], "groups": [REGION], "havings": _where("revenue", ">", 0), "sorts": [["revenue", "desc"]]}
 agg("flagship", FLAGSHIP, SQL["agg_join_3hop"])
 

@@ -93,5 +93,7 @@ def rolled_up(a: Agg, part) -> Column:
         return F.try_divide(total, n)
     # sum of squared distances from the mean; rounding must not take it below zero
     spread = F.greatest(F.sum(part("sumsq")) - F.try_divide(total * total, n), F.lit(0.0))
-    variance = F.try_divide(spread, n if a.fn.endswith("_pop") else n - 1)
+    # of no value there is no spread, of one value no sample's
+    less = 0 if a.fn.endswith("_pop") else 1
+    variance = F.when(n > less, F.try_divide(spread, n - less))
     return F.sqrt(variance) if a.fn.startswith("std") else variance
