@@ -218,11 +218,6 @@ def test_catalog(spark, tmp_path):
         make(spark, str(tmp_path), (TAKINGS, PreAggregation("takings_by_day", ("visits.day",), {"visits.spent": ("sum",)})))
 
 
-def test_published_names_are_quoted(spark, tmp_path):
-    m = DataModel(spark, {"it's": spark.range(1)})
-    assert "it's" in [r.table_name for r in m.sql("SELECT table_name FROM information_schema.tables").collect()]
-
-
 def test_equal_frames_of_two_unions_stay_apart(spark):
     t = DataModel(spark, {"t": spark.createDataFrame([(1, 10)], "k int, v int")})
     for name, n in (("few", 1), ("many", 3)):
