@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -154,27 +155,56 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def range_bounds(ids: DataFrame) -> tuple[list[int], dict[int, int]]:
-    """(bounds, {range: its smallest id}) over `ids` (doc_id); range i holds ids from bounds[i - 1] to below bounds[i].
+def keyed(docs: DataFrame) -> DataFrame:
+    """(doc_id, is_null, text, h) of `docs`: null ids as the lowest number, null texts as empty, h a hash of the text."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    doc_id = F.col("doc_id").cast("long")
+    return docs.select(F.coalesce(doc_id, F.lit(-(2**63))).alias("doc_id"), F.col("doc_id").isNull().alias("is_null"), text.alias("text"), F.xxhash64(text).alias("h"))
 
-    The bounds are quantiles of the ids.
+
+def range_bounds(rows: DataFrame) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """(bounds, [(range, id, h of its first row), ...]) over `keyed` rows, ranges in order.
+
+    The bounds are quantiles of the ids; an id that many rows have, or null, stands there as often as it fills ranges.
     """
-    rows = ids.count()
-    per = min(max(RANGE_ROWS, rows // (8 * ids.sparkSession.sparkContext.defaultParallelism)), LARGER * RANGE_ROWS)
-    n = min(-(-rows // per), MOST_RANGES)
-    bounds = sorted({int(x) for x in ids.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.1 / n)}) if n > 1 else []
-    least = {r["r"]: r["least"] for r in ids.groupBy(range_of(bounds).alias("r")).agg(F.min("doc_id").alias("least")).collect()}
-    return bounds, least
+    n = rows.count()
+    per = min(max(RANGE_ROWS, n // (8 * rows.sparkSession.sparkContext.defaultParallelism)), LARGER * RANGE_ROWS)
+    ranges = min(-(-n // per), MOST_RANGES)
+    bounds = np.array(sorted(int(x) for x in rows.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)) if ranges > 1 else [], np.int64)
+    firsts = rows.groupBy(range_of(bounds).alias("r")).agg(F.min(F.struct("doc_id", "h")).alias("first"))
+    return bounds, sorted((r["r"], *r["first"]) for r in firsts.collect())
 
 
-def range_of(bounds: list[int]):
+def range_of(bounds: np.ndarray):
+    """The range of a `keyed` row: the number of bounds up to its id. Rows of an id that stands k times among the bounds
+    are spread evenly over k ranges by the hash of their text, so they are in order of (doc_id, h)."""
+
     @F.pandas_udf("int")
-    def find(doc_id):
-        import pandas as pd
+    def find(doc_id: pd.Series, h: pd.Series) -> pd.Series:
+        ids = doc_id.to_numpy(np.int64)
+        low, high = np.searchsorted(bounds, ids, side="left"), np.searchsorted(bounds, ids, side="right")
+        times = high - low
+        part = ((h.to_numpy(np.int64) >> 32) + 2**31) * times >> 32
+        return pd.Series(np.where(times > 1, low + 1 + part, high).astype("int32"))
+
+    return find("doc_id", "h") if len(bounds) else F.lit(0)
 
-        return pd.Series(np.searchsorted(np.array(bounds, np.int64), doc_id.to_numpy(np.int64), side="right").astype("int32"))
 
-    return find("doc_id") if bounds else F.lit(0)
+def _range_before(firsts: list[tuple[int, int, int]]):
+    """For the first row of a range, as (doc_id, h), the range before it (before the first one: the last); null for others."""
+    before = {(i, h): firsts[k - 1][0] for k, (_, i, h) in enumerate(firsts)}
+    ids = np.unique(np.array([i for _, i, _ in firsts], np.int64))
+
+    @F.pandas_udf("int")
+    def find(doc_id: pd.Series, h: pd.Series) -> pd.Series:
+        out = np.full(len(doc_id), -1, np.int32)
+        of = doc_id.to_numpy(np.int64)
+        for k in np.flatnonzero(np.isin(of, ids)).tolist():
+            out[k] = before.get((int(of[k]), int(h.iloc[k])), -1)
+        return pd.Series(out)
+
+    found = find("doc_id", "h")
+    return F.when(found >= 0, found)
 
 
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,41 +236,38 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     held, size = [], 0
                 closed = r
                 continue
-            assert closed != r, "a range's rows come before the text that follows it"
+            if closed == r:
+                raise RuntimeError("a range's rows come before the text that follows it")
             if held and size > CHUNK:
                 yield done(held, text)
                 held, size = [], 0
             held.append((None if is_null else doc_id, text))
             size += len(text)
-    assert not held, "each range ends with the text that follows it"
+    if held:
+        raise RuntimeError("each range ends with the text that follows it")
 
 
 def fingerprint_rows(docs: DataFrame) -> DataFrame:
     """One row for each row of `docs` (doc_id, text): doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
     near_edited, near_next.
 
-    The next document is the next in order of (doc_id, text), null ids first; after the last comes the first, so a
-    single document is followed by itself. Null texts count as empty. An empty table gives no rows.
+    The next document is the next in order of (doc_id, hash of the text), null ids first; after the last comes the first,
+    so a single document is followed by itself. Null texts count as empty. Equal texts have equal fingerprints, whether
+    their rows repeat an id or not. An empty table gives no rows. A text is parsed as a whole, in some 60 bytes for
+    each character.
 
     The texts are dealt once, by ranges of ids whose bounds are quantiles; the first document of each range also goes,
-    as the text that follows, to the range before.
+    as the text that follows, to the range before. Rows without an id, or with one id, are spread over ranges as well.
     """
-    lowest = -(2**63)
-    rows = docs.select(
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)).alias("doc_id"), F.col("doc_id").isNull().alias("is_null"),
-        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    )
-    bounds, least = range_bounds(rows.select("doc_id"))
-    held = sorted(least)
-    before = {least[r]: held[i - 1] for i, r in enumerate(held)}  # of a range's first id, the range that it follows
-    names = F.array(*(F.struct(F.lit(i).cast("long").alias("id"), F.lit(r).alias("range")) for i, r in before.items())) if before else None
-    if names is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    ahead = F.create_map(*[x for i, r in before.items() for x in (F.lit(i).cast("long"), F.lit(r))])[F.col("doc_id")]
-    to = F.filter(F.array(F.struct(range_of(bounds).alias("r"), F.lit(False).alias("ahead")), F.struct(ahead.alias("r"), F.lit(True).alias("ahead"))), lambda x: x["r"].isNotNull())
-    dealt = rows.withColumn("to", F.explode(to)).select("to.r", "to.ahead", "doc_id", "is_null", "text")
-    dealt = dealt.repartitionById(max(held) + 1, "r").sortWithinPartitions("r", "ahead", "doc_id", F.desc("is_null"), "text")
-    return dealt.mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    rows = keyed(docs)
+    bounds, firsts = range_bounds(rows)
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    if not firsts:
+        return docs.sparkSession.createDataFrame([], schema)
+    to = F.filter(F.array(F.struct(range_of(bounds).alias("r"), F.lit(False).alias("ahead")), F.struct(_range_before(firsts).alias("r"), F.lit(True).alias("ahead"))), lambda x: x["r"].isNotNull())
+    dealt = rows.withColumn("to", F.explode(to)).select("to.r", "to.ahead", "doc_id", "is_null", "text", "h")
+    dealt = dealt.repartitionById(firsts[-1][0] + 1, "r").sortWithinPartitions("r", "ahead", "doc_id", "h", F.desc("is_null"), "text")
+    return dealt.select("r", "ahead", "doc_id", "is_null", "text").mapInArrow(_pairs, schema)
 
 
 def op1_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,17 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, remainder, written
+from quarry.llm.common import documents, remainder
 
-#: Training documents for each language at most, and how much of their n-grams a language's filter holds at most.
-SAMPLE, GRAMS = 1500, 40_000
+#: Training documents for each language, at most.
+SAMPLE = 1500
 #: Length of the n-grams in letters; a space stands for what isn't a letter.
 N = 4
 #: An n-gram is a language's own from this share of the rate that it has in the language where it is most frequent.
 OWN = 0.25
-LEAST_COUNT = 3
-#: Positions of a filter (a power of two) and hash functions.
-POSITIONS, HASHES = 2**19, 3
+#: Positions of a filter for each n-gram of the language that has most, at least, and hash functions.
+ROOM, HASHES = 12, 3
+#: Characters of a text that are looked at together.
+PIECE = 262_144
 UNKNOWN = "und"
 
 _letters: np.ndarray | None = None
@@ -37,27 +38,35 @@ def letters() -> np.ndarray:
     return _letters
 
 
+def gram_parts(text: str | None, piece: int = PIECE) -> Iterator[np.ndarray]:
+    """Hashes (uint64) of all n-grams of a whole text, repeats included, runs of non-letters being one space; a part for each `piece` characters."""
+    carried = np.array([32], np.uint64)  # a text begins and ends as if with a non-letter
+    seen = given = False
+    for start in range(0, len(text or ""), piece):
+        x = letters()[np.frombuffer(text[start : start + piece].encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.uint64)
+        if start + piece >= len(text):
+            x = np.append(x, np.uint64(32))
+        x = np.concatenate((carried, x))
+        space = x == 32
+        seen = seen or not space.all()
+        x = x[np.concatenate(([True], ~(space[1:] & space[:-1])))]
+        # a text of fewer symbols than an n-gram has one of all its symbols
+        n = min(N, len(x)) if start + piece >= len(text) and not given else N
+        carried = x[max(0, len(x) - N + 1) :]
+        if not seen or len(x) < n:
+            continue
+        given = True
+        h = x[: len(x) - n + 1].copy()
+        for i in range(1, n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + x[i : len(x) - n + 1 + i]
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        yield h ^ (h >> np.uint64(32))
+
+
 def grams(text: str | None) -> np.ndarray:
-    """Hashes (uint64) of all n-grams of a whole text, repeats included, runs of non-letters being one space."""
-    if not text:
-        return np.empty(0, np.uint64)
-    x = letters()[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    space = x == 32
-    x = x[np.concatenate(([True], ~(space[1:] & space[:-1])))]
-    if x[0] != 32:
-        x = np.concatenate(([np.uint32(32)], x))
-    if x[-1] != 32:
-        x = np.concatenate((x, [np.uint32(32)]))
-    if len(x) < 3:
-        return np.empty(0, np.uint64)
-    x = x.astype(np.uint64)
-    n = min(N, len(x))
-    h = x[: len(x) - n + 1].copy()
-    for i in range(1, n):
-        h = h * np.uint64(0x9E3779B97F4A7C15) + x[i : len(x) - n + 1 + i]
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    return h ^ (h >> np.uint64(32))
+    """All parts of `gram_parts`."""
+    return np.concatenate([np.empty(0, np.uint64), *gram_parts(text)])
 
 
 class Filters:
@@ -67,8 +76,10 @@ class Filters:
     `false_rate` is each filter's chance to claim an n-gram that it doesn't hold, from its share of set bits.
     """
 
-    def __init__(self, profiles: dict[str, np.ndarray], positions: int = POSITIONS, hashes: int = HASHES):
+    def __init__(self, profiles: dict[str, np.ndarray], positions: int | None = None, hashes: int = HASHES):
         self.langs = sorted(profiles)
+        # a power of two with room for the language that has most n-grams
+        positions = positions or 1 << (ROOM * max(map(len, profiles.values()), default=1)).bit_length()
         self.mask, self.hashes = np.uint64(positions - 1), hashes
         self.words = -(-len(self.langs) // 64)
         self.slices = np.zeros((self.words, positions), np.uint8 if len(self.langs) <= 8 else np.uint64)
@@ -104,10 +115,11 @@ class Filters:
 
         UNKNOWN and 0 for a text that is null or has no letter; ties go to the first language by name.
         """
-        h = grams(text)
-        if not len(h) or not self.langs:
+        counts, any_gram = np.zeros(len(self.langs)), False
+        for h in gram_parts(text) if self.langs else ():
+            counts, any_gram = counts + self.counts(h), True
+        if not any_gram:
             return UNKNOWN, 0.0
-        counts = sum(self.counts(h[i : i + 65_536]) for i in range(0, len(h), 65_536))
         order = np.argsort(-counts, kind="stable")
         first, second = counts[order[0]], counts[order[1]] if len(order) > 1 else 0.0
         return self.langs[order[0]], float(first / (first + second)) if first else 1 / len(self.langs)
@@ -116,18 +128,16 @@ class Filters:
 def fit(docs: DataFrame) -> Filters:
     """Filters for the languages of `docs` (doc_id, text, lang) outside the held-out fold.
 
-    Learns from about SAMPLE documents a language at most, chosen by a hash of their id, and holds at most GRAMS
-    n-grams a language, the most frequent. An n-gram belongs to each language in which it is at least OWN times as
-    frequent as in the language that has it most. Null languages and texts without letters are left out.
+    Learns from about SAMPLE documents a language at most, chosen by a hash of their id, and holds all their n-grams that
+    are the language's own: an n-gram belongs to each language in which it is at least OWN times as frequent as in the
+    language that has it most. Null languages and texts without letters are left out. What comes to the driver is
+    bounded by the number of languages and SAMPLE.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(remainder(F.col("doc_id"), 4) != 2)
     # the threshold that leaves about SAMPLE documents of a language, from their numbers; no language is sorted in one task
-    numbers = {r["lang"]: r["count"] for r in own.groupBy("lang").count().collect()}
-    if not numbers:
-        return Filters({})
-    share = F.create_map(*[x for lang, n in numbers.items() for x in (F.lit(lang), F.lit(int(min(1.0, SAMPLE / n) * 2**30)))])
-    picked = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) < share[F.col("lang")])
+    numbers = own.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("rows"))
+    picked = own.join(numbers, F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**30)) < F.lit(SAMPLE * 2**30) / F.col("rows"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = {}
@@ -151,20 +161,18 @@ def fit(docs: DataFrame) -> Filters:
 
     counted = picked.select("lang", "text").mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     total = counted.groupBy("lang").agg(F.sum("n").alias("total"))
-    rated = counted.where(F.col("n") >= LEAST_COUNT).join(F.broadcast(total), "lang").withColumn("rate", F.col("n") / F.col("total"))
+    rated = counted.join(total, "lang").withColumn("rate", F.col("n") / F.col("total"))
     most = F.max("rate").over(Window.partitionBy("gram"))
-    kept = written(rated.withColumn("most", most).where(F.col("rate") >= OWN * F.col("most")), "grams")
-    profiles: dict[str, np.ndarray] = {}
-    for lang in sorted(numbers):
-        rows = kept.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(GRAMS).select("gram")
-        profiles[lang] = rows.toPandas()["gram"].to_numpy(np.int64).view(np.uint64)
-    return Filters({k: v for k, v in profiles.items() if len(v)})
+    kept = rated.withColumn("most", most).where(F.col("rate") >= OWN * F.col("most")).select("lang", "gram").toArrow().combine_chunks()
+    lang, gram = kept["lang"].to_pandas(), kept["gram"].to_numpy().view(np.uint64)
+    return Filters({k: gram[at] for k, at in lang.groupby(lang).indices.items()})
 
 
 def language_rows(docs: DataFrame) -> DataFrame:
     """One row for each row of `docs` (doc_id, text, lang): doc_id, held_out, lang_pred, score.
 
-    The prediction depends on the text alone. An empty table, or one without languages, gives UNKNOWN for every row.
+    The prediction depends on the text alone; rows that repeat an id or a text are predicted each. An empty table, or one
+    without languages, gives UNKNOWN for every row. A very long text is looked at in pieces of PIECE characters.
     """
     filters = docs.sparkSession.sparkContext.broadcast(fit(docs))
 

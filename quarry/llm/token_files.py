@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import by_size, documents, scratch, written
-from quarry.llm.fingerprint import range_bounds, range_of
+from quarry.llm.fingerprint import keyed, range_bounds, range_of
 
 #: Ids of a sequence, sequences of a record batch, and the id that ends each document.
 LENGTH, BATCH, END = 2048, 64, 1
@@ -235,17 +235,17 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame
     """Writes the ids of all rows of `docs` (doc_id, text) to files below `folder`; the manifest, a row (r, path, n_tokens)
     for each file in ascending order of ids.
 
-    Order: (doc_id, text), null ids first. Each document's ids end with END; a null or empty text is END alone. Beside
+    Order: (doc_id, hash of the text), null ids first. Each document's ids end with END; a null or empty text is END alone. Beside
     each file of sequences stands its index (doc_id, start in the file, n_tokens). Texts are dealt once, by ranges of
     ids, and a file holds a range. An empty table gives no file. Rows that repeat an id, or an id and a text, are
     documents of their own; other columns are ignored.
     """
     folder = store_folder(docs.sparkSession, folder)
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.col("doc_id").isNull().alias("is_null"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    bounds, least = range_bounds(rows.select("doc_id"))
-    if not least:
+    rows = keyed(docs)
+    bounds, firsts = range_bounds(rows)
+    if not firsts:
         return docs.sparkSession.createDataFrame([], "r long, path string, n_tokens long")
-    dealt = rows.withColumn("r", range_of(bounds)).repartitionById(max(least) + 1, "r").sortWithinPartitions("r", "doc_id", F.desc("is_null"), "text")
+    dealt = rows.withColumn("r", range_of(bounds)).repartitionById(firsts[-1][0] + 1, "r").sortWithinPartitions("r", "doc_id", "h", F.desc("is_null"), "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(tokenizer)

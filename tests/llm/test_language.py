@@ -1,7 +1,10 @@
+import re
+from collections import Counter
+
 import numpy as np
 
 from quarry.llm import language as lang
-from quarry.llm.common import remainder_of
+from quarry.llm.common import documents, remainder_of
 
 
 def test_filters_hold_all_and_correct_false_positives():
@@ -26,6 +29,50 @@ def test_grams_are_those_of_brute_force():
     assert len(lang.grams("123 ,.")) == 0 and len(lang.grams(None)) == 0
 
 
+def test_pieces_give_the_same_grams():
+    text = "ab  12cd-ef" * 30 + " " * 50 + "é" + " " * 40
+    whole = list(lang.gram_parts(text, 10**6))
+    assert len(whole) == 1
+    for piece in (1, 2, 3, 7, 64):
+        assert (np.concatenate(list(lang.gram_parts(text, piece))) == whole[0]).all()
+    assert len(np.concatenate(list(lang.gram_parts(" " * 20 + "x" + " " * 20, 7)))) == 1  # a letter is never lost
+    assert list(lang.gram_parts(" 1" * 20, 7)) == []
+
+
+def plain_grams(text):
+    clean = re.sub(" +", " ", " " + "".join(c if c.isalpha() else " " for c in (text or "").lower()) + " ")
+    return [clean[i : i + 4] for i in range(max(1, len(clean) - 3))] if clean.strip() else []
+
+
+def test_query_is_brute_force(spark, sf):
+    rows = documents(spark, sf).collect()
+    seen = {}
+    for r in rows:  # SAMPLE lets every document in at this size
+        if r.lang is not None and remainder_of(r.doc_id, 4) != 2:
+            seen.setdefault(r.lang, Counter()).update(plain_grams(r.text))
+    rate = {k: {g: n / c.total() for g, n in c.items()} for k, c in seen.items()}
+    most = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
+    own = {k: {g for g, x in r.items() if x >= lang.OWN * most[g]} for k, r in rate.items()}
+    got = {r.doc_id: r for r in lang.op3_language(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for r in rows:
+        grams = plain_grams(r.text)
+        counts = {k: sum(g in own[k] for g in grams) for k in sorted(own)}
+        first, second, *_ = sorted(counts.values(), reverse=True)
+        if not grams:
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
+        elif first - second > 0.05 * len(grams):  # nearer than that the filters' false positives may decide
+            assert got[r.doc_id].lang_pred == max(counts, key=counts.get)
+            assert abs(got[r.doc_id].score - first / (first + second)) < 0.01 + 4 / len(grams)  # some false positives
+
+
+def test_rare_and_many_languages(spark):
+    docs = [(i, f"{chr(97 + i % 26)}x{chr(97 + i // 26 % 26)} q{i % 7}", f"l{i % 90}") for i in range(1800)] + [(5000, "zeldzame woorden", "rare")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    assert {"rare"} <= set(lang.fit(df).langs) and len(lang.fit(df).langs) == 91
+    assert lang.fit(df).predict("zeldzame")[0] == "rare"
+
+
 def test_held_out_accuracy(spark, sf):
     truth = {r.doc_id: (r.lang, len(r.text or "")) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     rows = lang.op3_language(spark, sf).collect()
