@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -63,6 +64,7 @@ def by_size(texts: pa.StringArray, most: int) -> Iterator[pa.StringArray]:
 def trimmed(parts: Iterator) -> Iterator:
     """The same parts; then gives back the memory that Arrow and the C library keep for later, as a worker outlives its task."""
     yield from parts
+    gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)

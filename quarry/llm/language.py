@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, remainder
+from quarry.llm.common import documents, remainder, written
 
 #: Training documents for each language, at most.
 SAMPLE = 1500
@@ -136,7 +136,8 @@ def fit(docs: DataFrame) -> Filters:
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     own = own.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).where(remainder(F.col("doc_id"), 4) != 2)
     # the threshold that leaves about SAMPLE documents of a language, from their numbers; no language is sorted in one task
-    numbers = own.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("rows"))
+    # (written, so that the optimizer knows how few they are and sends them to the texts)
+    numbers = written(own.groupBy(F.col("lang").alias("of")).agg(F.count("*").alias("rows")), "languages")
     picked = own.join(numbers, F.col("lang") == F.col("of")).where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(2**30)) < F.lit(SAMPLE * 2**30) / F.col("rows"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -63,7 +63,7 @@ def test_query_is_brute_force(spark, sf):
             assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
         elif first - second > 0.05 * len(grams):  # nearer than that the filters' false positives may decide
             assert got[r.doc_id].lang_pred == max(counts, key=counts.get)
-            assert abs(got[r.doc_id].score - first / (first + second)) < 0.01 + 4 / len(grams)  # some false positives
+            assert abs(got[r.doc_id].score - first / (first + second)) < 0.05  # an n-gram that a filter claims wrongly counts as often as it occurs
 
 
 def test_rare_and_many_languages(spark):
