@@ -53,7 +53,7 @@ def test_query_is_brute_force(spark, sf):
     rate = {k: {g: n / c.total() for g, n in c.items()} for k, c in seen.items()}
     most = {g: max(r.get(g, 0) for r in rate.values()) for r in rate.values() for g in r}
     own = {k: {g for g, x in r.items() if x >= lang.OWN * most[g]} for k, r in rate.items()}
-    got = {r.doc_id: r for r in lang.op3_language(spark, sf).collect()}
+    got, held = {r.doc_id: r for r in lang.op3_language(spark, sf).collect()}, 0
     assert len(got) == len(rows)
     for r in rows:
         grams = plain_grams(r.text)
@@ -61,9 +61,13 @@ def test_query_is_brute_force(spark, sf):
         first, second, *_ = sorted(counts.values(), reverse=True)
         if not grams:
             assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == ("und", 0.0)
-        elif first - second > 0.05 * len(grams):  # nearer than that the filters' false positives may decide
+        # a filter claims a few different n-grams wrongly, each as often as it occurs
+        off = max(sum(n for _, n in Counter(g for g in grams if g not in own[k]).most_common(4)) for k in own) if grams else 0
+        if grams and first - second > 2 * off:
             assert got[r.doc_id].lang_pred == max(counts, key=counts.get)
-            assert abs(got[r.doc_id].score - first / (first + second)) < 0.05  # an n-gram that a filter claims wrongly counts as often as it occurs
+            assert abs(got[r.doc_id].score - first / (first + second)) < 0.01 + off / (first + second)
+            held += 1
+    assert held > 0.5 * len(rows)
 
 
 def test_rare_and_many_languages(spark):
