@@ -107,8 +107,9 @@ class BlockMaxIndex:
         # a run is a term's part in one block
         key = term * max(1, self.blocks) + self.example // BLOCK
         self.start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-        self.length = np.diff(np.append(self.start, len(key)))
-        self.block = (self.example[self.start] // BLOCK).astype(np.int64)
+        self.length = np.diff(np.append(self.start, len(key))).astype(np.int32)
+        self.block = self.example[self.start] // BLOCK
+        self.start = self.start.astype(np.int32)
         self.peak = np.maximum.reduceat(self.weight, self.start) if len(key) else np.empty(0, np.float32)
         self.runs = np.searchsorted(term[self.start], np.arange(terms + 1))
 
