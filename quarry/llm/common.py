@@ -24,6 +24,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a Parquet table in the shared folder. Cuts the lineage; any executor can read it again after a loss."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
+    give_back()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -61,10 +62,15 @@ def by_size(texts: pa.StringArray, most: int) -> Iterator[pa.StringArray]:
         start = end
 
 
-def trimmed(parts: Iterator) -> Iterator:
-    """The same parts; then gives back the memory that Arrow and the C library keep for later, as a worker outlives its task."""
-    yield from parts
+def give_back() -> None:
+    """Returns to the system the memory that Python, Arrow and the C library keep for later."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
         trim(0)
+
+
+def trimmed(parts: Iterator) -> Iterator:
+    """The same parts; then gives memory back, as a worker outlives its task."""
+    yield from parts
+    give_back()

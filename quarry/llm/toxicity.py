@@ -13,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import by_size, documents, remainder, trimmed
+from quarry.llm.common import by_size, documents, give_back, remainder, trimmed
 
 #: Labelled rows of each label that examples are taken from, about, at most and (of the more frequent label) at least;
 #: bounds the model's size and the driver's part.
@@ -292,7 +292,14 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     found = texts.select("text").mapInArrow(lambda it: trimmed(frequencies(it)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
     df[found["term"].to_numpy()] = found["n"].to_numpy()
     vocabulary = Vocabulary(terms, df[:-1], int(df[-1]))
-    return Model(vocabulary, ids, toxic, vocabulary.weighted(len(ids), *counts), numbers)
+    vectors = vocabulary.weighted(len(ids), *counts)
+    known.unpersist()
+    del counts, found, known, terms
+    give_back()
+    model = Model(vocabulary, ids, toxic, vectors, numbers)
+    del vectors
+    give_back()
+    return model
 
 
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
