@@ -8,6 +8,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,9 +48,10 @@ def split_words(text: str | None) -> list[bytes]:
 
 
 @F.pandas_udf(T.LongType())
-def word_count(text):
+def word_count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Number of words `[^\\x20\\x09-\\x0D]+` in a text; 0 for null."""
-    return text.map(lambda x: len(x.encode("utf-8", "surrogatepass").split()) if x else 0).astype("int64")
+    count = lambda text: text.map(lambda x: len(x.encode("utf-8", "surrogatepass").split()) if x else 0).astype("int64")
+    return trimmed(map(count, parts))
 
 
 def by_size(texts: pa.StringArray, most: int) -> Iterator[pa.StringArray]:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACES, documents, written
+from quarry.llm.common import SPACES, documents, trimmed, written
 
 SLOTS = 4
 MOST_KICKS = 200
@@ -181,11 +181,11 @@ def dedup_rows(docs: DataFrame) -> DataFrame:
     """
     # not the row's position in the input, which a lost executor may change: the table that is written fixes it
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    rows = rows.mapInArrow(_digests, "doc_id long, n_chars long, digest binary, text_hash long").withColumn("tag", F.monotonically_increasing_id())
+    rows = rows.mapInArrow(lambda it: trimmed(_digests(it)), "doc_id long, n_chars long, digest binary, text_hash long").withColumn("tag", F.monotonically_increasing_id())
     rows = written(rows, "digests")
-    local = rows.select("digest", "n_chars", "doc_id", "tag", F.lit(1).cast("long").alias("n")).mapInArrow(lambda it: _fold(it, HELD), GROUP_SCHEMA)
+    local = rows.select("digest", "n_chars", "doc_id", "tag", F.lit(1).cast("long").alias("n")).mapInArrow(lambda it: trimmed(_fold(it, HELD)), GROUP_SCHEMA)
     tasks = max(docs.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // HELD))
-    groups = local.repartition(tasks, "digest").mapInArrow(_fold, GROUP_SCHEMA)
+    groups = local.repartition(tasks, "digest").mapInArrow(lambda it: trimmed(_fold(it)), GROUP_SCHEMA)
     groups = groups.select("digest", F.col("doc_id").alias("keep_id"), F.col("tag").alias("keep_tag"), F.col("n").alias("group_size"))
     return rows.join(groups.hint("merge"), "digest").select("doc_id", "n_chars", "digest", "text_hash", "keep_id", "group_size", (F.col("tag") == F.col("keep_tag")).alias("kept"))
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import documents, split_words, written
+from quarry.llm.common import documents, split_words, trimmed, written
 from quarry.llm.components import components, labelled
 from quarry.llm.exact_dedup import keep_rows
 from quarry.llm.similar_sets import similar_rows
@@ -136,7 +136,7 @@ def near_dedup_rows(docs: DataFrame) -> DataFrame:
     text takes memory in proportion: its words, and 8 bytes for each shingle.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string")).alias("text_hash"))
-    rows = written(rows.mapInArrow(_fingerprints, "doc_id long, fp long, text_hash long"), "fingerprints")
+    rows = written(rows.mapInArrow(lambda it: trimmed(_fingerprints(it)), "doc_id long, fp long, text_hash long"), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     labels = components(written(link_fingerprints(nodes), "links"))
     return labelled(rows, nodes, labels)

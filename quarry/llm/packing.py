@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import SPACES, documents, written
+from quarry.llm.common import SPACES, documents, trimmed, written
 
 #: Words that a bin holds, and documents that are packed together.
 CAPACITY = 1024
@@ -100,7 +100,7 @@ def pack_rows(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP) ->
     time, and the bins that groups leave partly open cost about one in a few hundred.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    rows = written(rows.mapInArrow(_sizes, "doc_id long, source string, size long, cluster long"), "pieces")
+    rows = written(rows.mapInArrow(lambda it: trimmed(_sizes(it)), "doc_id long, source string, size long, cluster long"), "pieces")
     groups = max(1, -(-rows.count() // group))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
