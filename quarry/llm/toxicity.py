@@ -27,7 +27,7 @@ STEM = 4
 #: Examples of a block of the index, share of the examples from which a term's list is kept dense, and texts scored together.
 BLOCK, DENSE, TOGETHER = 128, 0.05, 64
 #: Bytes of text whose terms are counted together.
-BYTES = 1_000_000
+BYTES = 2_000_000
 
 
 def term_counts(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
