@@ -21,8 +21,8 @@ KNOWN = 4095
 HEAD = 200_000
 #: Units, classes of the output, lanes that run side by side, and steps between which the state is carried on.
 UNITS, CLASSES, LANES, WINDOW = 24, 64, 256, 32
-#: Share of the training documents that the network learns from, at least, and tokens up to which it learns from all.
-LEARNED, ALL = 0.2, 2_000_000
+#: Tokens up to which the network learns from all training documents: any number. Only a caller that sets a bound gets, beyond it, a share of LEARNED at least.
+ALL, LEARNED = math.inf, 0.2
 #: Training tokens of a replica of the network, about; rounds after which the replicas are averaged; lanes, at most, of a replica; learning rate.
 SHARD, ROUNDS, TRAINING_LANES, RATE = 2_000_000, 8, 192, 0.02
 #: Weights of a network that are averaged together.
@@ -82,33 +82,78 @@ class Network:
         self.weights["cb"] = np.log(p.sum(1)).astype(np.float32)
         self.weights["sb"] = np.log(p / p.sum(1, keepdims=True)).astype(np.float32)
 
+    def forward(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(states before, states after, gates, candidates, recurrent parts of the candidates) of a window of inputs `x`
+        (steps, lanes) from states `h` (lanes, units). A lane's state is cleared where a document starts.
+
+        Gates are an update and a reset gate: 1 / (1 + exp(-v)) as (tanh(v / 2) + 1) / 2, with the halves in the weights.
+        """
+        n, w = self.units, self.weights
+        steps, lanes = x.shape
+        half = np.array([0.5, 0.5, 1.0], w["u"].dtype)[:, None, None]
+        u = np.ascontiguousarray(w["u"].reshape(n, 3, n).transpose(1, 0, 2)) * half
+        inputs = np.multiply(w["x"].take(x.reshape(-1), 0).reshape(-1, 3, n).transpose(1, 0, 2), half, order="C").reshape(3, steps, lanes, n)
+        live = (x != self.symbols).astype(u.dtype)[:, :, None]
+        before, after, c, own = (np.empty((steps, lanes, n), u.dtype) for _ in range(4))
+        gates, g = np.empty((2, steps, lanes, n), u.dtype), np.empty((3, lanes, n), u.dtype)
+        one_half = u.dtype.type(0.5)
+        for t in range(steps):
+            h = np.multiply(h, live[t], out=before[t])
+            np.matmul(h, u, out=g)
+            zr, ct = gates[:, t], c[t]
+            np.add(inputs[:2, t], g[:2], out=zr)
+            np.tanh(zr, out=zr)
+            zr *= one_half
+            zr += one_half
+            own[t] = g[2]
+            np.multiply(zr[1], g[2], out=ct)
+            ct += inputs[2, t]
+            np.tanh(ct, out=ct)
+            h = np.subtract(h, ct, out=after[t])
+            h *= zr[0]
+            h += ct
+        return before, after, gates, c, own
+
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(new state, update gate, reset gate, candidate, recurrent part of the candidate)."""
-        n = self.units
-        a, g = self.weights["x"][x], h @ self.weights["u"]
-        zr = np.tanh((a[:, : 2 * n] + g[:, : 2 * n]) * np.float32(0.5)) * np.float32(0.5) + np.float32(0.5)
-        z, r, own = zr[:, :n], zr[:, n:], g[:, 2 * n :]
-        c = np.tanh(a[:, 2 * n :] + r * own)
-        return c + z * (h - c), z, r, c, own
+        """(new state, update gate, reset gate, candidate, recurrent part of the candidate) of one step."""
+        _, after, gates, c, own = self.forward(h, x[None])
+        return after[0], gates[0, 0], gates[1, 0], c[0], own[0]
+
+    def _bounds(self, h: np.ndarray) -> tuple[float, list[float]]:
+        """What the classes' logits and each class's symbols' logits can't exceed, whatever the sign."""
+        w, most = self.weights, max(1.0, float(np.abs(h).max(initial=0)))
+        return float((np.abs(w["c"]).sum(0) * most + np.abs(w["cb"])).max()), (np.abs(w["s"]).sum(1) * most + np.abs(w["sb"])).max(1).tolist()
 
     @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
-        x = x - x.max(-1, keepdims=True)
-        return x - np.log(np.exp(x).sum(-1, keepdims=True))
+    def _logits(h: np.ndarray, w: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
+        """Logits that can be raised to powers of e: less the row's largest if they may leave the range of float32."""
+        x = h @ w
+        x += b
+        if bound > 60:
+            x -= x.max(-1, keepdims=True)
+        return x
 
     def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural logarithm of P(target | state) for each row; rows of one class are computed together."""
         w = self.weights
         cls, place = target // self.per, target % self.per
-        logits = h @ w["c"] + w["cb"]
-        out = logits[np.arange(len(cls)), cls] - np.log(np.exp(logits).sum(1))
-        order = np.argsort(cls, kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        bound, bounds = self._bounds(h)
+        # sums by products are the faster ones
+        ones = np.ones(max(self.classes, self.per), h.dtype)
+
+        def logs(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            true = logits.reshape(-1).take(np.arange(0, logits.size, logits.shape[1]) + at)
+            return true - np.log(np.exp(logits, out=logits) @ ones[: logits.shape[1]])
+
+        out = logs(self._logits(h, w["c"], w["cb"], bound), cls)
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        place, states, found = place.take(order), h.take(order, 0), np.empty(len(order), out.dtype)
         for k in range(self.classes):
             if cuts[k] < cuts[k + 1]:
-                at = order[cuts[k] : cuts[k + 1]]
-                logits = h[at] @ w["s"][k] + w["sb"][k]
-                out[at] += logits[np.arange(len(at)), place[at]] - np.log(np.exp(logits).sum(1))
+                mine = slice(cuts[k], cuts[k + 1])
+                found[mine] = logs(self._logits(states[mine], w["s"][k], w["sb"][k], bounds[k]), place[mine])
+        out[order] += found
         return out
 
     def vector(self) -> np.ndarray:
@@ -154,51 +199,73 @@ class Network:
     def _gradients(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
         w, n = self.weights, self.units
         steps, lanes = x.shape
-        starts = (x == self.symbols)[:, :, None]
-        before, after, z, r, c, own = (np.empty((steps, lanes, n), np.float32) for _ in range(6))
-        for t in range(steps):
-            before[t] = h = np.where(starts[t], np.float32(0), h)
-            after[t], z[t], r[t], c[t], own[t] = self.step(h, x[t])
-            h = after[t]
-        hs = after.reshape(-1, n)
+        before, after, (z, r), c, own = self.forward(h, x)
+        hs, kind = after.reshape(-1, n), after.dtype
         target = y.reshape(-1)
         g = {k: np.zeros_like(v) for k, v in w.items()}
-        scale = np.float32(1 / len(target))
+        scale = kind.type(1 / len(target))
         cls, place = target // self.per, target % self.per
-        d = np.exp(self._log_softmax(hs @ w["c"] + w["cb"]))
-        d[np.arange(len(cls)), cls] -= 1
-        d *= scale
-        g["c"], g["cb"] = hs.T @ d, d.sum(0)
+        bound, bounds = self._bounds(hs)
+        ones = np.ones(max(len(target), self.classes, self.per), kind)
+
+        def errors(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+            """The loss's gradient by the logits, in their place."""
+            np.exp(logits, out=logits)
+            logits *= (scale / (logits @ ones[: logits.shape[1]]))[:, None]
+            logits.reshape(-1)[np.arange(0, logits.size, logits.shape[1]) + at] -= scale
+            return logits
+
+        d = errors(self._logits(hs, w["c"], w["cb"], bound), cls)
+        g["c"], g["cb"] = hs.T @ d, ones[: len(d)] @ d
         dh = d @ w["c"].T
-        order = np.argsort(cls, kind="stable")
+        order = np.argsort(cls.astype(np.int16), kind="stable")
         cuts = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
+        place, states, ds = place.take(order), hs.take(order, 0), np.empty_like(hs)
         for k in range(self.classes):
             if cuts[k] < cuts[k + 1]:
-                at = order[cuts[k] : cuts[k + 1]]
-                mine = hs[at]
-                d = np.exp(self._log_softmax(mine @ w["s"][k] + w["sb"][k]))
-                d[np.arange(len(at)), place[at]] -= 1
-                d *= scale
-                g["s"][k], g["sb"][k] = mine.T @ d, d.sum(0)
-                dh[at] += d @ w["s"][k].T
+                mine = slice(cuts[k], cuts[k + 1])
+                d = errors(self._logits(states[mine], w["s"][k], w["sb"][k], bounds[k]), place[mine])
+                np.matmul(states[mine].T, d, out=g["s"][k])
+                np.matmul(ones[: len(d)], d, out=g["sb"][k])
+                np.matmul(d, w["s"][k].T, out=ds[mine])
+        dh[order] += ds
         dh = dh.reshape(steps, lanes, n)
         # what a step's gradient is multiplied with on its way to the gates
         to_z, to_c, to_r = (before - c) * z * (1 - z), (1 - z) * (1 - c * c), own * r * (1 - r)
-        da, dg = np.empty((steps, lanes, 3 * n), np.float32), np.empty((steps, lanes, 3 * n), np.float32)
-        carried, back = np.zeros((lanes, n), np.float32), np.ascontiguousarray(w["u"].T)
+        # by the inputs' parts and by the recurrent parts, of which the gates' are the same
+        da, dc = np.empty((3, steps, lanes, n), kind), np.empty((steps, lanes, n), kind)
+        back = np.ascontiguousarray(w["u"].reshape(n, 3, n).transpose(1, 2, 0))
+        live = (x != self.symbols).astype(kind)[:, :, None]
+        carried, d, dg, parts = np.zeros((lanes, n), kind), np.empty((lanes, n), kind), np.empty((3, lanes, n), kind), np.empty((3, lanes, n), kind)
         for t in range(steps - 1, -1, -1):
-            d = dh[t] + carried
-            dc = d * to_c[t]
-            da[t, :, :n], da[t, :, n : 2 * n], da[t, :, 2 * n :] = d * to_z[t], dc * to_r[t], dc
-            dg[t, :, : 2 * n], dg[t, :, 2 * n :] = da[t, :, : 2 * n], dc * r[t]
-            carried = np.where(starts[t], np.float32(0), d * z[t] + dg[t] @ back)
-        g["u"] = before.reshape(-1, n).T @ dg.reshape(-1, 3 * n)
+            np.add(dh[t], carried, out=d)
+            np.multiply(d, to_c[t], out=da[2, t])
+            np.multiply(d, to_z[t], out=da[0, t])
+            np.multiply(da[2, t], to_r[t], out=da[1, t])
+            np.multiply(da[2, t], r[t], out=dc[t])
+            dg[:2], dg[2] = da[:2, t], dc[t]
+            np.matmul(dg, back, out=parts)
+            np.multiply(d, z[t], out=carried)
+            for part in parts:
+                carried += part
+            carried *= live[t]
+        states = before.reshape(-1, n).T
+        g["u"] = np.concatenate([states @ v.reshape(-1, n) for v in (da[0], da[1], dc)], axis=1)
         inputs = x.reshape(-1)
-        order = np.argsort(inputs, kind="stable")
-        inputs = inputs[order]
+        order = np.argsort(inputs.astype(np.uint16), kind="stable")
+        inputs = inputs.take(order)
         cuts = np.flatnonzero(np.append(True, inputs[1:] != inputs[:-1]))
-        g["x"][inputs[cuts]] = np.add.reduceat(da.reshape(-1, 3 * n)[order], cuts)
-        return g, h
+        ends = np.append(cuts[1:], len(inputs))
+        # frequent inputs' rows are summed by products, the others' together
+        many = ends - cuts > 64
+        few = np.append(0, np.cumsum((ends - cuts)[~many]))[:-1]
+        for k, v in enumerate(da):
+            rows, column = v.reshape(-1, n), slice(k * n, (k + 1) * n)
+            if len(few):
+                g["x"][inputs[cuts[~many]], column] = np.add.reduceat(rows.take(order[~np.repeat(many, ends - cuts)], 0), few)
+            for i, j in zip(cuts[many].tolist(), ends[many].tolist()):
+                g["x"][inputs[i], column] = ones[: j - i] @ rows.take(order[i:j], 0)
+        return g, after[-1]
 
     def score(self, texts: list[np.ndarray], lanes: int = LANES, window: int = WINDOW) -> np.ndarray:
         """Natural log-likelihood of each symbol sequence as a whole, from the state at a document's start.
@@ -221,13 +288,10 @@ class Network:
                 for k, i in enumerate(group[:live]):
                     part = texts[i][at : at + window]
                     target[: len(part), k] = part
-                held = []
-                for goal in target:
-                    h = self.step(h, last)[0]
-                    last = goal
-                    held.append(h)
+                after = self.forward(h, np.concatenate((last[None], target[:-1])))[1]
+                h, last = after[-1], target[-1]
                 true = np.arange(at, at + len(target))[:, None] < lengths[None, :live]
-                logs = self.log_probabilities(np.concatenate(held)[true.reshape(-1)], target[true])
+                logs = self.log_probabilities(after[true], target[true])
                 out += np.bincount(np.broadcast_to(whose[:live], true.shape)[true], logs, len(texts))
         return out
 
@@ -290,7 +354,7 @@ def _least_frequent(counts: DataFrame) -> int:
 def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
     """(model, counts): counts (word binary, n) of all tokens of the training fold of `docs` (doc_id, text).
 
-    All training documents are counted; what the network learns from grows with them (`train`). To the driver come the most frequent
+    All training documents are counted, and the network learns from all of them (`train`). To the driver come the most frequent
     tokens, HEAD at most, two sums and the network.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -305,8 +369,7 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
 
 
 def train(model: Model, docs: DataFrame) -> None:
-    """Trains the model's network on documents of `docs` (doc_id, text): on all up to ALL tokens, else on LEARNED of all at
-    least, chosen by a hash, so what is learned from grows with the corpus.
+    """Trains the model's network on all documents of `docs` (doc_id, text), however many; one that occurs twice is learned twice.
 
     A hash deals the documents to shards of about SHARD tokens and to ROUNDS rounds. In a round a replica of the network
     learns from each shard's documents of that round, on the executors; then the network takes the replicas' average

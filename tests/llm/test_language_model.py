@@ -97,6 +97,17 @@ def test_replicas_learn_from_every_document(spark, monkeypatch):
     assert all(score > 0.6 * base for score, base in scores.values())
 
 
+def test_a_large_corpus_is_learned_whole(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(lm, "written", lambda df, name, real=lm.written: seen.append(real(df, name)) or seen[-1])
+    monkeypatch.setattr(lm, "ROUNDS", 2)
+    docs = spark.createDataFrame([(i, f"a b {i}") for i in range(200)], "doc_id long, text string")
+    model = lm.Model([(b"a", 50), (b"b", 50)], 30_000_000, 2)  # a corpus of 30,000,000 tokens, by its counts
+    start = model.network.vector()
+    lm.train(model, docs)
+    assert seen[0].count() == 200 and not (model.network.vector() == start).all()
+
+
 def plain_symbol_logs(model, words):
     """Natural logs of the network's probabilities, a step at a time, by plain loops over its weights."""
     w, n = {k: v.astype(float) for k, v in model.network.weights.items()}, model.network.units
