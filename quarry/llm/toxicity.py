@@ -7,7 +7,6 @@ from collections.abc import Iterator
 from itertools import batched
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
@@ -39,9 +38,11 @@ def term_counts(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarra
     """
     lists = pc.ascii_split_whitespace(pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\pL]+", " "))
     coded = lists.values.dictionary_encode()
-    words = coded.dictionary.to_pylist()
     text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
+    del lists
+    words = coded.dictionary.to_pylist()
     pairs, n = np.unique(text * len(words) + coded.indices.to_numpy(), return_counts=True)
+    del coded
     text, word = np.divmod(pairs, max(1, len(words)))
     if "" in words:  # stands before a leading blank
         text, word, n = (x[word != words.index("")] for x in (text, word, n))
@@ -53,20 +54,25 @@ def term_counts(texts: pa.StringArray) -> tuple[list[str], np.ndarray, np.ndarra
     return words + list(stems), np.append(text, stem_text), np.append(word, stem + len(words)), np.append(n, stem_n)
 
 
+def places(terms: list[str], known: pa.StringArray) -> np.ndarray:
+    """The place of each term in `known`, -1 if it isn't there. Strings in one array take a sixth of what a dictionary of them does."""
+    return pc.fill_null(pc.index_in(pa.array(terms, pa.string()), value_set=known), -1).to_numpy().astype(np.int64)
+
+
 class Vocabulary:
     """All terms of the examples and their inverse document frequencies; turns texts into TF-IDF vectors of length 1.
 
     A vector is (term ids in ascending order, weights (1 + ln tf) * idf over its length); empty without a known term.
     """
 
-    def __init__(self, terms: list[str], df: np.ndarray, rows: int):
-        self.ids = {t: i for i, t in enumerate(terms)}
+    def __init__(self, terms: pa.StringArray, df: np.ndarray, rows: int):
+        self.terms = terms
         self.idf = np.log((rows + 1) / np.clip(df, 1, rows)) if len(df) else np.empty(0)
 
     def weighted(self, many: int, text: np.ndarray, term: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
         """The vectors of `many` texts from their counts: of text[i] the term id term[i], below 0 if unknown, n[i] times."""
         text, term, n = (x[term >= 0] for x in (text, term, n))
-        order = np.argsort(text * len(self.ids) + term)
+        order = np.argsort(text * len(self.terms) + term)
         text, term = text[order], term[order]
         x = (1 + np.log(n[order])) * self.idf[term]
         x /= np.sqrt(np.bincount(text, x * x, many))[text]
@@ -76,8 +82,13 @@ class Vocabulary:
     def vectors(self, texts: pa.StringArray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         for part in by_size(texts, BYTES):
             terms, text, term, n = term_counts(part)
-            known = np.array([self.ids.get(t, -1) for t in terms], np.int64)
-            yield from self.weighted(len(part), text, known[term] if len(terms) else term, n)
+            term = places(terms, self.terms)[term] if len(terms) else term
+            del terms
+            found = self.weighted(len(part), text, term, n)
+            # a task scores for long: neither what the counting took nor the counts stay meanwhile
+            del text, term, n
+            pa.default_memory_pool().release_unused()
+            yield from found
 
 
 class BlockMaxIndex:
@@ -186,7 +197,7 @@ class Model:
         self.vocabulary = vocabulary
         self.ids = ids[order].astype(np.int64)
         self.toxic = toxic[order].astype(np.float64)
-        self.index = BlockMaxIndex(vectors, len(vocabulary.ids))
+        self.index = BlockMaxIndex(vectors, len(vocabulary.terms))
         self.even = float(self.toxic.mean()) if len(ids) else 0.0
         self.plain = numbers[1] / max(1, sum(numbers))
         self.k, self.knots = NEAREST[0], None
@@ -267,22 +278,21 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     if isinstance(coded, pa.ChunkedArray):
         coded = coded.combine_chunks()
     rank = pc.sort_indices(coded.dictionary).to_numpy()
-    terms = coded.dictionary.take(pa.array(rank)).to_pylist()
+    terms = coded.dictionary.take(pa.array(rank))
     place = np.empty(len(terms), np.int64)
     place[rank] = np.arange(len(terms))
     counts = np.repeat(np.arange(len(lists)), lists.value_lengths().to_numpy()), place[coded.indices.to_numpy()], held["n"].combine_chunks().flatten().to_numpy()
     ids, toxic = held["doc_id"].to_numpy(), held["toxic"].to_numpy()
     del held, lists, coded
-    known = spark.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
+    known = spark.sparkContext.broadcast(terms)
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids = known.value
-        df = np.zeros(len(ids) + 1, np.int64)  # the last is for other terms, then for the rows
+        df = np.zeros(len(known.value) + 1, np.int64)  # the last is for other terms, then for the rows
         rows = 0
         for b in batches:
             for part in by_size(b.column(0), BYTES):
                 found, _, term, _ = term_counts(part)
-                np.add.at(df, [ids.get(t, -1) for t in found], np.bincount(term, minlength=len(found)))
+                np.add.at(df, places(found, known.value), np.bincount(term, minlength=len(found)))
             rows += b.num_rows
         df[-1] = rows
         at = np.flatnonzero(df)
@@ -309,10 +319,10 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("score double, evidence array<long>")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        score = lambda text: pd.DataFrame(shared.value.scores(pa.array(text, pa.string(), from_pandas=True)), columns=["score", "evidence"])
-        return trimmed(map(score, parts))
+    @F.arrow_udf("score double, evidence array<long>")
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        kind = pa.struct([("score", pa.float64()), ("evidence", pa.list_(pa.int64()))])
+        return trimmed(pa.array([{"score": s, "evidence": e} for s, e in shared.value.scores(text)], kind) for text in parts)
 
     rows = docs.select(F.struct("*").alias("row"))  # so that no column's name can clash
     rows = rows.select("row", scored(F.col("row.text").cast("string")).alias("of"))
@@ -336,10 +346,9 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     model = fit(docs, labels)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    @F.pandas_udf("double")
-    def scored(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        score = lambda text: pd.Series([s for s, _ in shared.value.scores(pa.array(text, pa.string(), from_pandas=True))], dtype="float64")
-        return trimmed(map(score, parts))
+    @F.arrow_udf("double")
+    def scored(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return trimmed(pa.array((s for s, _ in shared.value.scores(text)), pa.float64()) for text in parts)
 
     rows = docs.select(F.struct("*").alias("row"))
     return rows.where(scored(F.col("row.text").cast("string")) < 0.5).select("row.*")

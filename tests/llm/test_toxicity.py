@@ -1,5 +1,7 @@
 import math
+import pickle
 import random
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -167,3 +169,14 @@ def test_terms():
         got[i][terms[t]] += k
     assert got == [plain_terms(t) for t in texts] and len(set(zip(text, term))) == len(text)
     assert [len(x) for x in tx.term_counts(pa.array([], pa.string()))] == [0, 0, 0, 0]
+
+
+def test_a_vocabulary_is_held_without_an_object_for_each_term():
+    sent = pickle.dumps(tx.Vocabulary(pa.array([f"term{i}" for i in range(200_000)]), np.arange(200_000), 200_000))
+    tracemalloc.start()
+    held = pickle.loads(sent)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 10_000_000
+    assert [i.tolist() for i, _ in held.vectors(pa.array(["term no Term7 term199999", None]))] == [[], []]
+    assert tx.places(["term7", "no", "term199999"], held.terms).tolist() == [7, -1, 199_999] and tx.places([], held.terms).tolist() == []
