@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from quarry.llm.common import documents, split_words, trimmed, written
 from quarry.llm.components import components, labelled
 from quarry.llm.exact_dedup import keep_rows
-from quarry.llm.similar_sets import similar_rows
 
 SHINGLE = 3
 SEED = 42
@@ -145,10 +144,13 @@ def near_dedup_rows(docs: DataFrame) -> DataFrame:
 def near_dedup(docs: DataFrame, shingle: int = SHINGLE, similarity: float | None = None) -> DataFrame:
     """`docs` with one document of each group: the one with the smallest doc_id, then the smallest hash of its text. All columns stay.
 
-    With `similarity`, groups are linked by the Jaccard similarity of sets of `shingle` words (`similar_rows`), else by
-    fingerprints of SHINGLE words within MOST_BITS (`near_dedup_rows`). Null ids come last; of rows that repeat the id
+    With `similarity`, groups are linked by the Jaccard similarity of sets of `shingle` words, found through fingerprints of
+    drawn shingles within MOST_BITS and checked (`similar_rows`), else by fingerprints of all SHINGLE words within
+    MOST_BITS (`near_dedup_rows`). Null ids come last; of rows that repeat the id
     and the text one stays (`keep_rows`). Null and empty texts are one group. An empty table stays empty.
     """
+    from quarry.llm.similar_sets import similar_rows  # which goes through this module's index
+
     if similarity is None and shingle != SHINGLE:
         raise ValueError("fingerprints have a fixed shingle size")
     rows = near_dedup_rows(docs) if similarity is None else similar_rows(docs, shingle, similarity)

@@ -1,4 +1,5 @@
-"""Links between documents whose sets of word shingles have a given Jaccard similarity, by banded minima and an exact check."""
+"""Links between documents whose sets of word shingles have a given Jaccard similarity: SimHash fingerprints of drawn shingles, the
+index over byte positions, and an exact check."""
 
 from __future__ import annotations
 
@@ -12,18 +13,19 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import split_words, trimmed, written
 from quarry.llm.components import components, labelled
+from quarry.llm.near_dedup import link_fingerprints
 
 #: Words of a shingle and the least similarity of two near copies.
 SHINGLE, SIMILARITY = 5, 0.8
-#: Bands and minima of a band: sets of similarity s share no band with probability (1 - s ** DEEP) ** BANDS, 3.2e-6 at 0.8.
-BANDS, DEEP = 24, 4
+#: Fingerprints of a set and shingles drawn for each: of two sets of similarity s no draw is the same with probability
+#: (1 - s ** DRAWN) ** PRINTS, 2.5e-6 at 0.8. An odd number, so that over half of the hashes is as often one as zero.
+PRINTS, DRAWN = 18, 3
 #: Places of a sketch; members of a list's chunk; sets that a batch carries from Python.
 BITS, CHUNK, BATCH = 512, 2048, 1000
 SEED = 42
 
-_RNG = np.random.default_rng(SEED)
-_FACTORS = _RNG.integers(0, 2**63, BANDS * DEEP, np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = _RNG.integers(0, 2**63, (BANDS, DEEP), np.uint64) * np.uint64(2) + np.uint64(1)
+_FACTORS = np.random.default_rng(SEED).integers(0, 2**63, PRINTS * DRAWN, np.uint64) * np.uint64(2) + np.uint64(1)
+_INVERSES = np.array([pow(f, -1, 2**64) for f in _FACTORS.tolist()], np.uint64)
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -41,14 +43,19 @@ def name_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """A key (int64) for each band: a mix of DEEP minima of the set under multiplicative hashes."""
-    least = np.full(BANDS * DEEP, 2**64 - 1, np.uint64)
+def fingerprints(hashes: np.ndarray) -> np.ndarray:
+    """PRINTS SimHash fingerprints (int64) of a set, each of DRAWN of its shingles: those that come first by a hash of the fingerprint's own.
+
+    Bit i is 1 if set in over half of the drawn shingles' XXH64, as in `near_dedup.fingerprint`. Similar sets draw the
+    same shingle with a probability of their similarity, and fingerprints of the same shingles are the same; a
+    fingerprint of all shingles would differ in 15 % of its bits at 0.8, which no byte of it survives for sure.
+    """
+    least = np.full(PRINTS * DRAWN, 2**64 - 1, np.uint64)
     for i in range(0, len(hashes), 256):  # in bounded memory, however long the text
         # the product's low bits depend on few bits of the hash, its high ones on all
         np.minimum(least, (hashes[i : i + 256, None] * _FACTORS).min(0), out=least)
-    mixed = ((least.reshape(BANDS, DEEP) >> np.uint64(20)) * _MIX).sum(1, dtype=np.uint64)
-    return (mixed ^ (mixed >> np.uint64(31))).view(np.int64)
+    a, b, c = (least * _INVERSES).reshape(PRINTS, DRAWN).T
+    return ((a & b) | (a & c) | (b & c)).view(np.int64)
 
 
 def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
@@ -130,7 +137,9 @@ def similar_rows(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR
     Sets link at a Jaccard similarity of `least` or more; component_id is the smallest doc_id reachable over links, as
     in `near_dedup_rows`. Texts without words are one set, linked to no other. Null ids never give a component its id.
 
-    Sets that share a band are candidates, and each link is checked on the whole sets. First each posting is tried with
+    Each set has PRINTS SimHash fingerprints, which go through the operator's index (`near_dedup.link_fingerprints`: lists
+    by byte positions, count filter, Hamming distance). Sets with linked fingerprints are candidates, a list for each
+    group of linked fingerprints, and each link is checked on the whole sets. First each posting is tried with
     two members of its list, so a large group of copies costs pairs in proportion to its size; then, in lists whose
     members are still in different parts, all pairs from different parts. Of both only pairs are checked that sizes and
     sketches allow, which rules out no similar pair. No list is cut. Rows that repeat stay; an empty table gives no
@@ -144,18 +153,22 @@ def similar_rows(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILAR
                 sets = [shingle_set(t, shingle) for t in part.column(1).to_pylist()]
                 arrays = [
                     part.column(0), pa.array([name_of(s) for s in sets], pa.int64()), part.column(2), pa.array([len(s) for s in sets], pa.int32()),
-                    pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([bands(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
+                    pa.array([sketch(s) for s in sets], pa.list_(pa.int64())), pa.array([fingerprints(s) if len(s) else [] for s in sets], pa.list_(pa.int64())),
                 ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "text_hash", "n", "sketch", "bands"])
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "fp", "text_hash", "n", "sketch", "prints"])
 
     text = F.col("text").cast("string")
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    rows = written(own.mapInArrow(lambda it: trimmed(named(it)), "doc_id long, fp long, text_hash long, n int, sketch array<long>, bands array<long>"), "sets")
-    # equal sets have equal sketches and bands, so any of them will do
-    first = (F.first(c).alias(c) for c in ("n", "sketch", "bands"))
+    rows = written(own.mapInArrow(lambda it: trimmed(named(it)), "doc_id long, fp long, text_hash long, n int, sketch array<long>, prints array<long>"), "sets")
+    # equal sets have equal sketches and fingerprints, so any of them will do
+    first = (F.first(c).alias(c) for c in ("n", "sketch", "prints"))
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"), *first), "nodes")
-    # a key is a hash of its band too; each list has an order of its own, so that a large group meets other members in each
-    every = nodes.select("fp", F.explode("bands").alias("key")).withColumn("turned", F.col("fp").bitwiseXOR(F.xxhash64("key")))
+    every = nodes.select("fp", F.explode(F.array_distinct("prints")).alias("key"))
+    alike = components(written(link_fingerprints(every.select(F.col("key").alias("fp")).distinct()), "print_links"))
+    if alike.head():
+        every = every.join(alike, F.col("key") == F.col("node"), "left").select("fp", F.coalesce("label", "key").alias("key")).distinct()
+    # a list for each group of linked fingerprints; it has an order of its own, so that a large group meets other members in each
+    every = every.withColumn("turned", F.col("fp").bitwiseXOR(F.xxhash64("key")))
     ends = every.groupBy("key").agg(F.min("turned").alias("lo"), F.max("turned").alias("hi")).where("lo <> hi")
     ends = written(ends.select("key", *(F.col(c).bitwiseXOR(F.xxhash64("key")).alias(c) for c in ("lo", "hi"))), "ends")
     postings = written(every.join(ends, "key").select("key", "fp", "lo", "hi"), "postings")
