@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
-from itertools import batched
+from itertools import batched, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +24,8 @@ UNITS, CLASSES, LANES, WINDOW = 24, 64, 256, 32
 ALL, LEARNED = math.inf, 0.2
 #: Training tokens of a replica of the network, about; rounds after which the replicas are averaged; lanes, at most, of a replica; learning rate.
 SHARD, ROUNDS, TRAINING_LANES, RATE = 2_000_000, 8, 192, 0.02
+#: Rows whose logits are computed together, so that they stay in the cache.
+BLOCK = 1024
 #: Weights of a network that are averaged together.
 PIECE = 16_384
 #: Tokens that a task scores together, about, and bytes of text that are cut in tokens together; a longer text is taken by itself.
@@ -34,21 +35,35 @@ END = " "
 FOLD = 7
 
 
-def tokens(texts: pa.StringArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def coded(texts: pa.StringArray) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
     """(words, bounds, token): the different tokens of some texts; text i's tokens are words[token[bounds[i]:bounds[i + 1]]].
 
     A text's tokens are its words with A-Z in lower case, then END. Null has END alone. Takes some ten times the texts' bytes.
     """
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
-    coded = lists.values.cast(pa.binary()).dictionary_encode()
-    words = coded.dictionary.to_pylist()
-    token = coded.indices.to_numpy().astype(np.int64)
+    found = lists.values.cast(pa.binary()).dictionary_encode()
+    words, token = found.dictionary, found.indices.to_numpy().astype(np.int64)
     text = np.repeat(np.arange(len(texts)), np.diff(lists.offsets.to_numpy()))
-    if b"" in words:  # stands before a leading blank and after the last
-        live = token != words.index(b"")
+    blank = pc.index(words, pa.scalar(b"", pa.binary())).as_py()
+    if blank >= 0:  # stands before a leading blank and after the last
+        live = token != blank
         token, text = token[live], text[live]
     ends = np.searchsorted(text, np.arange(len(texts)), side="right")
-    return [*words, END.encode()], np.append(0, ends + np.arange(1, len(texts) + 1)), np.insert(token, ends, len(words))
+    words = pa.concat_arrays([words, pa.array([END.encode()], pa.binary())])
+    return words, np.append(0, ends + np.arange(1, len(texts) + 1)), np.insert(token, ends, len(words) - 1)
+
+
+def as_list(words: pa.BinaryArray) -> list[bytes]:
+    """The words by their buffers, as `to_pylist` takes far longer. None of them is null."""
+    _, offsets, data = words.buffers()
+    data = data.to_pybytes() if data else b""
+    return [data[i:j] for i, j in pairwise(np.frombuffer(offsets, np.int32, len(words) + 1, words.offset * 4).tolist())]
+
+
+def tokens(texts: pa.StringArray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """`coded`, the words as a list."""
+    words, bounds, token = coded(texts)
+    return as_list(words), bounds, token
 
 
 class Network:
@@ -82,78 +97,99 @@ class Network:
         self.weights["cb"] = np.log(p.sum(1)).astype(np.float32)
         self.weights["sb"] = np.log(p / p.sum(1, keepdims=True)).astype(np.float32)
 
-    def forward(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-        """(states before, states after, gates, candidates, recurrent parts of the candidates) of a window of inputs `x`
-        (steps, lanes) from states `h` (lanes, units). A lane's state is cleared where a document starts.
+    def _tables(self, rows: np.ndarray | slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+        """Recurrent weights (3, units, units) and the inputs' table `rows` (3, rows, units), halved for the two gates.
 
         Gates are an update and a reset gate: 1 / (1 + exp(-v)) as (tanh(v / 2) + 1) / 2, with the halves in the weights.
         """
         n, w = self.units, self.weights
-        steps, lanes = x.shape
         half = np.array([0.5, 0.5, 1.0], w["u"].dtype)[:, None, None]
-        u = np.ascontiguousarray(w["u"].reshape(n, 3, n).transpose(1, 0, 2)) * half
-        inputs = np.multiply(w["x"].take(x.reshape(-1), 0).reshape(-1, 3, n).transpose(1, 0, 2), half, order="C").reshape(3, steps, lanes, n)
-        live = (x != self.symbols).astype(u.dtype)[:, :, None]
-        before, after, c, own = (np.empty((steps, lanes, n), u.dtype) for _ in range(4))
-        gates, g = np.empty((2, steps, lanes, n), u.dtype), np.empty((3, lanes, n), u.dtype)
-        one_half = u.dtype.type(0.5)
+        return tuple(np.multiply(v.reshape(-1, 3, n).transpose(1, 0, 2), half, order="C") for v in (w["u"], w["x"][rows]))
+
+    def _run(self, h: np.ndarray, inputs: np.ndarray, starts: np.ndarray, tables: tuple[np.ndarray, np.ndarray], keep: bool = True) -> tuple[np.ndarray, ...]:
+        """(states before, states after, gates and recurrent parts of the candidates (steps, 3, lanes, units), candidates) of
+        a window of rows `inputs` of the table from states `h`; a lane's state is cleared where `starts`. Unless `keep`, all
+        but the states after are those of the last step."""
+        u, table = tables
+        (steps, lanes), n, held = inputs.shape, self.units, len(inputs) if keep else 1
+        before, c, after = (np.empty((k, lanes, n), u.dtype) for k in (held, held, steps))
+        parts, own = np.empty((held, 3, lanes, n), u.dtype), np.empty((3, lanes, n), u.dtype)
+        one_half, clear = u.dtype.type(0.5), starts.any(1).tolist()
         for t in range(steps):
-            h = np.multiply(h, live[t], out=before[t])
-            np.matmul(h, u, out=g)
-            zr, ct = gates[:, t], c[t]
-            np.add(inputs[:2, t], g[:2], out=zr)
+            k = t if keep else 0
+            old, g, ct = before[k], parts[k], c[k]
+            np.copyto(old, h)
+            if clear[t]:
+                old[starts[t]] = 0
+            np.matmul(old, u, out=g)
+            table.take(inputs[t], 1, out=own, mode="clip")
+            zr = g[:2]
+            zr += own[:2]
             np.tanh(zr, out=zr)
             zr *= one_half
             zr += one_half
-            own[t] = g[2]
-            np.multiply(zr[1], g[2], out=ct)
-            ct += inputs[2, t]
+            np.multiply(g[1], g[2], out=ct)
+            ct += own[2]
             np.tanh(ct, out=ct)
-            h = np.subtract(h, ct, out=after[t])
-            h *= zr[0]
+            h = np.subtract(old, ct, out=after[t])
+            h *= g[0]
             h += ct
-        return before, after, gates, c, own
+        return before, after, parts, c
 
     def step(self, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
         """(new state, update gate, reset gate, candidate, recurrent part of the candidate) of one step."""
-        _, after, gates, c, own = self.forward(h, x[None])
-        return after[0], gates[0, 0], gates[1, 0], c[0], own[0]
+        _, after, parts, c = self._run(h, x[None], x[None] == self.symbols, self._tables())
+        return after[0], parts[0, 0], parts[0, 1], c[0], parts[0, 2]
 
-    def _bounds(self, h: np.ndarray) -> tuple[float, list[float]]:
-        """What the classes' logits and each class's symbols' logits can't exceed, whatever the sign."""
-        w, most = self.weights, max(1.0, float(np.abs(h).max(initial=0)))
-        return float((np.abs(w["c"]).sum(0) * most + np.abs(w["cb"])).max()), (np.abs(w["s"]).sum(1) * most + np.abs(w["sb"])).max(1).tolist()
+    def _output(self, most: float) -> tuple[np.ndarray, np.ndarray, float, list[float]]:
+        """Class weights and each class's symbol weights, both with the biases as a last row, and what the classes' logits and
+        each class's symbols' logits can't exceed, whatever the sign, if no state exceeds `most`."""
+        w = self.weights
+        c, s = np.concatenate((w["c"], w["cb"][None])), np.concatenate((w["s"], w["sb"][:, None]), 1)
+        reach = np.append(np.full(self.units, most), 1).astype(c.dtype)
+        return c, s, float((reach @ np.abs(c)).max()), (reach @ np.abs(s)).max(1).tolist()
+
+    def _by_class(self, h: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(order by class, classes, places, states with a 1 for the biases), the last three in that order."""
+        cls = target // self.per
+        order = np.argsort(cls.astype(np.int16), kind="stable")
+        cls = cls.take(order)
+        place = target.take(order) - cls * self.per
+        states = np.empty((len(order), self.units + 1), h.dtype)
+        states[:, :-1], states[:, -1] = h.take(order, 0), 1
+        return order, cls, place, states
+
+    def _runs(self, cls: np.ndarray) -> Iterator[tuple[int, int, list[tuple[int, int, int]]]]:
+        """(begin, end, [(class, begin, end)]) of blocks of rows in order of class, so small that their logits stay in the cache."""
+        cuts = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
+        for i in range(0, len(cls), BLOCK):
+            j = min(i + BLOCK, len(cls))
+            yield i, j, [(k, max(i, cuts[k]), min(j, cuts[k + 1])) for k in range(cls[i], cls[j - 1] + 1) if cuts[k] < cuts[k + 1]]
 
     @staticmethod
-    def _logits(h: np.ndarray, w: np.ndarray, b: np.ndarray, bound: float) -> np.ndarray:
+    def _logits(h: np.ndarray, w: np.ndarray, bound: float, out: np.ndarray) -> None:
         """Logits that can be raised to powers of e: less the row's largest if they may leave the range of float32."""
-        x = h @ w
-        x += b
+        np.matmul(h, w, out=out)
         if bound > 60:
-            x -= x.max(-1, keepdims=True)
-        return x
+            out -= out.max(-1, keepdims=True)
 
-    def log_probabilities(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
+    def log_probabilities(self, h: np.ndarray, target: np.ndarray, output: tuple | None = None) -> np.ndarray:
         """Natural logarithm of P(target | state) for each row; rows of one class are computed together."""
-        w = self.weights
-        cls, place = target // self.per, target % self.per
-        bound, bounds = self._bounds(h)
-        # sums by products are the faster ones
-        ones = np.ones(max(self.classes, self.per), h.dtype)
-
-        def logs(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            true = logits.reshape(-1).take(np.arange(0, logits.size, logits.shape[1]) + at)
-            return true - np.log(np.exp(logits, out=logits) @ ones[: logits.shape[1]])
-
-        out = logs(self._logits(h, w["c"], w["cb"], bound), cls)
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
-        place, states, found = place.take(order), h.take(order, 0), np.empty(len(order), out.dtype)
-        for k in range(self.classes):
-            if cuts[k] < cuts[k + 1]:
-                mine = slice(cuts[k], cuts[k + 1])
-                found[mine] = logs(self._logits(states[mine], w["s"][k], w["sb"][k], bounds[k]), place[mine])
-        out[order] += found
+        c, s, bound, bounds = output or self._output(max(1.0, float(np.abs(h).max(initial=0))))
+        order, cls, place, states = self._by_class(h, target)
+        top, low = (np.empty((min(BLOCK, len(order)), k), h.dtype) for k in (self.classes, self.per))
+        ones, rows = np.ones(max(self.classes, self.per), h.dtype), np.arange(len(top))
+        found = np.empty(len(order), h.dtype)
+        for i, j, runs in self._runs(cls):
+            at, x, y = rows[: j - i], top[: j - i], low[: j - i]
+            self._logits(states[i:j], c, bound, x)
+            for k, begin, end in runs:
+                self._logits(states[begin:end], s[k], bounds[k], y[begin - i : end - i])
+            true = x[at, cls[i:j]] + y[at, place[i:j]]
+            # sums by products are the faster ones
+            found[i:j] = true - np.log(np.exp(x, out=x) @ ones[: self.classes]) - np.log(np.exp(y, out=y) @ ones[: self.per])
+        out = np.empty_like(found)
+        out[order] = found
         return out
 
     def vector(self) -> np.ndarray:
@@ -184,88 +220,133 @@ class Network:
         first = {k: np.zeros_like(v) for k, v in self.weights.items()}
         second = {k: np.zeros_like(v) for k, v in self.weights.items()}
         for t, at in enumerate(range(0, per, window), 1):
-            grads, h = self._gradients(h, x[at : at + window], y[at : at + window])
+            rows, grads, h = self._sparse_gradients(h, x[at : at + window], y[at : at + window])
             norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
             done = begin + (end - begin) * at / per
             lr = rate * min(1.0, 0.1 + 0.9 * (1 - done)) * math.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+            clip = min(1.0, 1.0 / (norm + 1e-9))
             for k, g in grads.items():
                 # inputs that a window doesn't have keep their weights and moments
-                rows = np.unique(x[at : at + window]) if k == "x" else slice(None)
-                g = g[rows] * np.float32(min(1.0, 1.0 / (norm + 1e-9)))
-                first[k][rows] = f = first[k][rows] * np.float32(0.9) + np.float32(0.1) * g
-                second[k][rows] = v = second[k][rows] * np.float32(0.999) + np.float32(0.001) * (g * g)
-                self.weights[k][rows] -= np.float32(lr) * f / (np.sqrt(v) + np.float32(1e-6))
+                f, v = (m[k].take(rows, 0) if k == "x" else m[k] for m in (first, second))
+                g *= np.float32(0.1 * clip)
+                f *= np.float32(0.9)
+                f += g
+                np.multiply(g, g, out=g)
+                g *= np.float32(0.1)  # 0.001 of the square, of which g has 0.01
+                v *= np.float32(0.999)
+                v += g
+                np.sqrt(v, out=g)
+                g += np.float32(1e-6)
+                np.divide(f, g, out=g)
+                g *= np.float32(lr)
+                if k == "x":
+                    first[k][rows], second[k][rows] = f, v
+                    self.weights[k][rows] -= g
+                else:
+                    self.weights[k] -= g
 
     def _gradients(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """(the gradients of the mean loss by all weights, the last states) of a window."""
+        rows, g, h = self._sparse_gradients(h, x, y)
+        dense = np.zeros_like(self.weights["x"])
+        dense[rows] = g["x"]
+        return g | {"x": dense}, h
+
+    def _sparse_gradients(self, h: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, dict[str, np.ndarray], np.ndarray]:
+        """(inputs that the window has, gradients, the inputs' for those alone, the last states) of a window."""
         w, n = self.weights, self.units
         steps, lanes = x.shape
-        before, after, (z, r), c, own = self.forward(h, x)
-        hs, kind = after.reshape(-1, n), after.dtype
-        target = y.reshape(-1)
-        g = {k: np.zeros_like(v) for k, v in w.items()}
-        scale = kind.type(1 / len(target))
-        cls, place = target // self.per, target % self.per
-        bound, bounds = self._bounds(hs)
-        ones = np.ones(max(len(target), self.classes, self.per), kind)
-
-        def errors(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-            """The loss's gradient by the logits, in their place."""
-            np.exp(logits, out=logits)
-            logits *= (scale / (logits @ ones[: logits.shape[1]]))[:, None]
-            logits.reshape(-1)[np.arange(0, logits.size, logits.shape[1]) + at] -= scale
-            return logits
-
-        d = errors(self._logits(hs, w["c"], w["cb"], bound), cls)
-        g["c"], g["cb"] = hs.T @ d, ones[: len(d)] @ d
-        dh = d @ w["c"].T
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        cuts = np.searchsorted(cls[order], np.arange(self.classes + 1)).tolist()
-        place, states, ds = place.take(order), hs.take(order, 0), np.empty_like(hs)
-        for k in range(self.classes):
-            if cuts[k] < cuts[k + 1]:
-                mine = slice(cuts[k], cuts[k + 1])
-                d = errors(self._logits(states[mine], w["s"][k], w["sb"][k], bounds[k]), place[mine])
-                np.matmul(states[mine].T, d, out=g["s"][k])
-                np.matmul(ones[: len(d)], d, out=g["sb"][k])
-                np.matmul(d, w["s"][k].T, out=ds[mine])
-        dh[order] += ds
+        by_input = np.argsort(x.reshape(-1).astype(np.uint16), kind="stable")
+        inputs = x.reshape(-1).take(by_input)
+        cuts = np.flatnonzero(np.append(True, inputs[1:] != inputs[:-1]))
+        rows, sizes = inputs[cuts], np.diff(np.append(cuts, len(inputs)))
+        of = np.empty(len(inputs), np.intp)
+        of[by_input] = np.repeat(np.arange(len(rows)), sizes)
+        starts = x == self.symbols
+        before, after, parts, c = self._run(h, of.reshape(x.shape), starts, self._tables(rows))
+        z, r, own = (parts[:, k] for k in range(3))
+        kind = after.dtype
+        g, dh = self._output_gradients(after.reshape(-1, n), y.reshape(-1))
         dh = dh.reshape(steps, lanes, n)
-        # what a step's gradient is multiplied with on its way to the gates
-        to_z, to_c, to_r = (before - c) * z * (1 - z), (1 - z) * (1 - c * c), own * r * (1 - r)
-        # by the inputs' parts and by the recurrent parts, of which the gates' are the same
-        da, dc = np.empty((3, steps, lanes, n), kind), np.empty((steps, lanes, n), kind)
-        back = np.ascontiguousarray(w["u"].reshape(n, 3, n).transpose(1, 2, 0))
-        live = (x != self.symbols).astype(kind)[:, :, None]
-        carried, d, dg, parts = np.zeros((lanes, n), kind), np.empty((lanes, n), kind), np.empty((3, lanes, n), kind), np.empty((3, lanes, n), kind)
+        # by the gates' parts, by the recurrent part of the candidates and by their inputs' part
+        da, back = np.empty((steps, 4, lanes, n), kind), np.ascontiguousarray(w["u"].reshape(n, 3, n).transpose(1, 2, 0))
+        carried, d, spread, one = np.zeros((lanes, n), kind), np.empty((lanes, n), kind), np.empty((3, lanes, n), kind), kind.type(1)
+        a, b = np.empty((lanes, n), kind), np.empty((lanes, n), kind)
+        clear = starts.any(1).tolist()
         for t in range(steps - 1, -1, -1):
+            zt, rt, ct, (dz, dr, dc, di) = z[t], r[t], c[t], da[t]
             np.add(dh[t], carried, out=d)
-            np.multiply(d, to_c[t], out=da[2, t])
-            np.multiply(d, to_z[t], out=da[0, t])
-            np.multiply(da[2, t], to_r[t], out=da[1, t])
-            np.multiply(da[2, t], r[t], out=dc[t])
-            dg[:2], dg[2] = da[:2, t], dc[t]
-            np.matmul(dg, back, out=parts)
-            np.multiply(d, z[t], out=carried)
-            for part in parts:
+            np.multiply(d, zt, out=carried)
+            # d (1 - z), on the way to the candidate and, by (before - c) z, to the update gate
+            np.subtract(d, carried, out=a)
+            np.subtract(before[t], ct, out=b)
+            b *= zt
+            np.multiply(a, b, out=dz)
+            np.multiply(ct, ct, out=b)
+            np.subtract(one, b, out=b)
+            np.multiply(a, b, out=di)
+            np.multiply(di, rt, out=dc)
+            # di own r (1 - r)
+            np.subtract(di, dc, out=dr)
+            dr *= own[t]
+            dr *= rt
+            np.matmul(da[t, :3], back, out=spread)
+            for part in spread:
                 carried += part
-            carried *= live[t]
-        states = before.reshape(-1, n).T
-        g["u"] = np.concatenate([states @ v.reshape(-1, n) for v in (da[0], da[1], dc)], axis=1)
-        inputs = x.reshape(-1)
-        order = np.argsort(inputs.astype(np.uint16), kind="stable")
-        inputs = inputs.take(order)
-        cuts = np.flatnonzero(np.append(True, inputs[1:] != inputs[:-1]))
-        ends = np.append(cuts[1:], len(inputs))
-        # frequent inputs' rows are summed by products, the others' together
-        many = ends - cuts > 64
-        few = np.append(0, np.cumsum((ends - cuts)[~many]))[:-1]
-        for k, v in enumerate(da):
-            rows, column = v.reshape(-1, n), slice(k * n, (k + 1) * n)
-            if len(few):
-                g["x"][inputs[cuts[~many]], column] = np.add.reduceat(rows.take(order[~np.repeat(many, ends - cuts)], 0), few)
-            for i, j in zip(cuts[many].tolist(), ends[many].tolist()):
-                g["x"][inputs[i], column] = ones[: j - i] @ rows.take(order[i:j], 0)
-        return g, after[-1]
+            if clear[t]:
+                carried[starts[t]] = 0
+        g["u"] = np.matmul(before.transpose(0, 2, 1)[:, None], da[:, :3]).sum(0).transpose(1, 0, 2).reshape(n, 3 * n)
+        # rows of the gates' and of the candidates' inputs, in the order of the inputs
+        at = by_input + by_input // lanes * (3 * lanes)
+        sums = da.reshape(-1, n).take((at[:, None] + np.array([0, lanes, 3 * lanes])).reshape(-1), 0).reshape(-1, 3 * n)
+        g["x"], ones = np.empty((len(rows), 3 * n), kind), np.ones(len(inputs), kind)
+        # frequent inputs' are summed by products, the others' together: the first of each, the second of those that have one, and so on
+        for k in np.flatnonzero(sizes > 16).tolist():
+            i, j = cuts[k], cuts[k] + sizes[k]
+            np.matmul(ones[: j - i], sums[i:j], out=g["x"][k])
+        few = np.flatnonzero(sizes <= 16)
+        few = few[np.argsort(-sizes[few], kind="stable")]
+        at, left = cuts[few], -sizes[few]
+        total = sums.take(at, 0)
+        for k in range(1, -int(left.min(initial=0))):
+            m = int(np.searchsorted(left, -k))
+            total[:m] += sums.take(at[:m] + k, 0)
+        g["x"][few] = total
+        return rows, {k: g[k] for k in w}, after[-1]
+
+    def _output_gradients(self, h: np.ndarray, target: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray]:
+        """(gradients of the mean loss by the output's weights, by the states `h`)."""
+        n, kind = self.units, h.dtype
+        c, s, bound, bounds = self._output(max(1.0, float(np.abs(h).max(initial=0))))
+        order, cls, place, states = self._by_class(h, target)
+        top, low = (np.empty((min(BLOCK, len(order)), k), kind) for k in (self.classes, self.per))
+        ones, rows, scale = np.ones(max(self.classes, self.per), kind), np.arange(len(top)), kind.type(1 / len(target))
+        gc, gs, ds, more = np.zeros_like(c), np.zeros_like(s), np.empty((len(order), n), kind), np.empty((len(top), n), kind)
+        back, backs = np.ascontiguousarray(c[:-1].T), s[:, :-1].transpose(0, 2, 1)
+
+        def errors(logits: np.ndarray, at: np.ndarray) -> None:
+            """The loss's gradient by the logits, in their place."""
+            np.exp(logits, out=logits)
+            logits *= (scale / (logits @ ones[: logits.shape[1]]))[:, None]
+            logits[rows[: len(logits)], at] -= scale
+
+        for i, j, runs in self._runs(cls):
+            mine, x, y, m = states[i:j], top[: j - i], low[: j - i], more[: j - i]
+            self._logits(mine, c, bound, x)
+            errors(x, cls[i:j])
+            gc += mine.T @ x
+            np.matmul(x, back, out=ds[i:j])
+            for k, begin, end in runs:
+                self._logits(states[begin:end], s[k], bounds[k], y[begin - i : end - i])
+            errors(y, place[i:j])
+            for k, begin, end in runs:
+                d = y[begin - i : end - i]
+                gs[k] += states[begin:end].T @ d
+                np.matmul(d, backs[k], out=m[begin - i : end - i])
+            ds[i:j] += m
+        dh = np.empty_like(ds)
+        dh[order] = ds
+        return {"c": gc[:-1], "cb": gc[-1], "s": gs[:, :-1], "sb": gs[:, -1]}, dh
 
     def score(self, texts: list[np.ndarray], lanes: int = LANES, window: int = WINDOW) -> np.ndarray:
         """Natural log-likelihood of each symbol sequence as a whole, from the state at a document's start.
@@ -276,6 +357,7 @@ class Network:
         """
         out = np.zeros(len(texts))
         order = sorted(range(len(texts)), key=lambda i: (-len(texts[i]), i))
+        tables, output = self._tables(), self._output(1.0)  # no state that began at 0 exceeds 1
         for group in batched(order, lanes):
             lengths = np.array([len(texts[i]) for i in group])
             whose = np.array(group)
@@ -288,10 +370,11 @@ class Network:
                 for k, i in enumerate(group[:live]):
                     part = texts[i][at : at + window]
                     target[: len(part), k] = part
-                after = self.forward(h, np.concatenate((last[None], target[:-1])))[1]
+                inputs = np.concatenate((last[None], target[:-1]))
+                after = self._run(h, inputs, inputs == self.symbols, tables, keep=False)[1]
                 h, last = after[-1], target[-1]
                 true = np.arange(at, at + len(target))[:, None] < lengths[None, :live]
-                logs = self.log_probabilities(after[true], target[true])
+                logs = self.log_probabilities(after[true], target[true], output)
                 out += np.bincount(np.broadcast_to(whose[:live], true.shape)[true], logs, len(texts))
         return out
 
@@ -318,21 +401,24 @@ class Model:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    n: Counter[bytes] = Counter()
+    """(word, n) of the texts; a word comes once for every 500,000 different ones, about."""
+    held: list[pa.Table] = []
 
-    def flush():
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.binary()), pa.array(list(n.values()), pa.int64())], names=["word", "n"])
-        n.clear()
+    def summed() -> pa.Table:
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
 
     for b in batches:
         for part in by_size(b.column(0), BYTES):
-            words, _, token = tokens(part)
-            for w, k in zip(words, np.bincount(token, minlength=len(words)).tolist()):
-                if k:
-                    n[w] += k
-            if len(n) > 200_000:
-                yield from flush()
-    yield from flush()
+            words, _, token = coded(part)
+            n = np.bincount(token, minlength=len(words))
+            t = pa.table({"word": words, "n": pa.array(n, pa.int64())})
+            held.append(t.filter(pa.array(n > 0)))
+            if sum(map(len, held)) > 1_000_000:
+                held = [summed()]
+                if len(held[0]) > 500_000:
+                    yield from held.pop().to_batches()
+    if held:
+        yield from summed().to_batches()
 
 
 def _least_frequent(counts: DataFrame) -> int:
@@ -443,41 +529,44 @@ def score_rows(docs: DataFrame) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        seen = {w: math.log10(c + 1) for w, c in m.counts.items()}
-        held: list[tuple] = []
+        rank = {w: i for i, w in enumerate(m.counts)}.get
+        # by rank, and last for a token that the head doesn't hold; the head begins with the known tokens, in the order of their symbols
+        logs = np.append(np.log10(np.array(list(m.counts.values()), np.float64) + 1), np.nan)
+        symbols = np.zeros(len(logs), np.int32)
+        symbols[: len(m.known)] = np.arange(1, len(m.known) + 1)
+        held: list[pa.Table] = []
+        ids: list[np.ndarray] = []
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            logs = m.network.score([h[-1] for h in held]) / math.log(10)
-            columns = list(zip(*(h[:-1] for h in held)))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int32()))
-            arrays = [pa.array(c, t) for c, t in zip(columns, types)]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(logs)], names=["doc_id", "n_tokens", "n_known", "base", "n_tail", "tail_base", "words", "times", "network"])
+            network = pa.array(m.network.score(ids) / math.log(10))
+            yield from pa.concat_tables(held).append_column("network", network).combine_chunks().to_batches()
 
         for b in batches:
             start = 0
             for part in by_size(b.column(1), BYTES):
-                words, bounds, token = tokens(part)
+                words, bounds, token = coded(part)
                 n, text = len(part), np.repeat(np.arange(len(part)), np.diff(bounds))
-                log = np.array([seen.get(w, np.nan) for w in words])
-                symbol = m.symbols(words)
-                met, unknown = ~np.isnan(log)[token], symbol[token] == 0
-                base = np.bincount(text[met], log[token[met]], n)
-                tail_base = np.bincount(text[met & unknown], log[token[met & unknown]], n)
-                columns = (np.diff(bounds), np.bincount(text[met], minlength=n), base, np.bincount(text[unknown], minlength=n), tail_base)
+                ranks = np.array([rank(w, -1) for w in as_list(words)])
+                log, symbol = logs[ranks][token], symbols[ranks][token]
+                met, unknown = ~np.isnan(log), symbol == 0
                 # the tokens that the head doesn't hold, each once for a text
-                pairs, times = np.unique(text[~met] * len(words) + token[~met], return_counts=True)
+                rest = np.flatnonzero(~met) if tail else np.zeros(0, np.int64)
+                pairs, times = np.unique(text[rest] * len(words) + token[rest], return_counts=True)
                 of, rare = np.divmod(pairs, len(words))
-                cuts, rare, times = np.searchsorted(of, np.arange(n + 1)).tolist(), rare.tolist(), times.tolist()
-                ids = symbol[token]
-                for i, (doc_id, *row) in enumerate(zip(b.column(0).slice(start, n).to_pylist(), *(c.tolist() for c in columns))):
-                    mine = slice(cuts[i], cuts[i + 1]) if tail else slice(0)
-                    held.append((doc_id, *row, [words[w] for w in rare[mine]], times[mine], ids[bounds[i] : bounds[i + 1]]))
+                cuts = pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32())
+                sums = lambda of, by=None: pa.array(np.bincount(text[of], None if by is None else by[of], n), pa.int64() if by is None else pa.float64())  # noqa: B023, E731
+                held.append(pa.table({
+                    "doc_id": b.column(0).slice(start, n), "n_tokens": np.diff(bounds), "n_known": sums(met), "base": sums(met, log), "n_tail": sums(unknown), "tail_base": sums(met & unknown, log),
+                    "words": pa.ListArray.from_arrays(cuts, words.take(pa.array(rare))), "times": pa.ListArray.from_arrays(cuts, pa.array(times, pa.int32())),
+                }))
+                ids += [symbol[i:j] for i, j in pairwise(bounds.tolist())]
                 start += n
                 size += len(token)
                 if size > TOGETHER:
                     yield from flush()
                     held.clear()
+                    ids.clear()
                     size = 0
         if held:
             yield from flush()

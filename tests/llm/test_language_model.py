@@ -1,9 +1,11 @@
 import math
+import time
 import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from quarry.llm import language_model as lm
@@ -81,6 +83,93 @@ def test_score_holds_a_window_at_a_time():
     assert peak < 20_000_000
 
 
+def test_scoring_holds_the_states_of_a_window_alone():
+    net = lm.Network(50)
+    texts = [np.random.default_rng(2).integers(0, 50, 2000).astype(np.int32)] * 256
+    tracemalloc.start()
+    net.score(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 4_500_000
+
+
+def test_counting_costs_little_more_than_cutting():
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(f"w{k:x}" for k in (400_000 * rng.random(500) ** 2).astype(int)) for _ in range(2000)])
+
+    def seconds(f):
+        def one():
+            begin = time.thread_time()
+            f()
+            return time.thread_time() - begin
+
+        return min(one() for _ in range(3))
+
+    cut = seconds(lambda: [pc.ascii_split_whitespace(t).values.dictionary_encode() for t in lm.by_size(texts, lm.BYTES)])
+    assert seconds(lambda: list(lm._count_words([pa.record_batch([texts], names=["text"])]))) < 3 * cut
+
+
+def test_each_word_is_counted_once_a_task():
+    words = [f"w{i}" for i in range(250_000)]
+    batch = pa.record_batch([pa.array([" ".join(words[i : i + 500]) for i in range(0, len(words), 500)])], names=["text"])
+    out = pa.Table.from_batches(lm._count_words([batch, batch]))
+    assert sorted(zip(out["word"].to_pylist(), out["n"].to_pylist())) == sorted([(w.encode(), 2) for w in words] + [(b" ", 1000)])
+
+
+def test_counts_leave_the_task_in_parts_and_add_up():
+    words = [f"w{i}" for i in range(700_000)]
+    batches = [pa.record_batch([pa.array([" ".join(words[i : i + 500])])], names=["text"]) for i in range(0, len(words), 500)]
+    c = Counter()
+    for b in lm._count_words(batches + batches[:1200]):
+        for w, n in zip(*(x.to_pylist() for x in b.columns)):
+            c[w] += n
+    assert c == Counter({w.encode(): 1 + (i < 600_000) for i, w in enumerate(words)}) + Counter({b" ": 2600})
+
+
+@pytest.mark.parametrize("block", [3, 16, 1024])
+def test_gradients_of_frequent_and_rare_symbols_in_blocks(monkeypatch, block):
+    monkeypatch.setattr(lm, "BLOCK", block, raising=False)
+    net = lm.Network(11, units=4, classes=3)
+    for w in net.weights:
+        net.weights[w] = net.weights[w].astype(np.float64)
+    rng = np.random.default_rng(4)
+    x = np.where(rng.random((5, 12)) < 0.5, 7, rng.integers(0, 12, (5, 12)))  # one symbol in over half the places
+    y = rng.integers(0, 11, (5, 12))
+    h0 = rng.normal(0, 0.3, (12, 4))
+
+    def loss():
+        h, out = h0, 0.0
+        for t in range(5):
+            h = net.step(np.where((x[t] == net.symbols)[:, None], 0, h), x[t])[0]
+            out -= net.log_probabilities(h, y[t]).mean() / 5
+        return out
+
+    grads, _ = net._gradients(h0, x, y)
+    for name, w in net.weights.items():
+        assert grads[name].shape == w.shape
+        for at in list(np.ndindex(w.shape))[:: max(1, w.size // 30)]:
+            old = w[at]
+            w[at] = old + 1e-5
+            up = loss()
+            w[at] = old - 1e-5
+            down = loss()
+            w[at] = old
+            assert grads[name][at] == pytest.approx((up - down) / 2e-5, rel=2e-3, abs=2e-6), (name, at)
+
+
+def test_large_weights_stay_in_range():
+    net = lm.Network(40, units=6, classes=5)
+    rng = np.random.default_rng(5)
+    for scale in (8, 14, 60):  # logits within and beyond what float32 can be raised to
+        net.weights |= {k: rng.normal(0, scale, net.weights[k].shape).astype(np.float32) for k in ("c", "s")}
+        h, target = rng.uniform(-1, 1, (200, 6)).astype(np.float32), rng.integers(0, 40, 200)
+        cls, place = np.divmod(target, net.per)
+        top = h.astype(float) @ net.weights["c"] + net.weights["cb"]
+        low = (h.astype(float)[:, None] @ net.weights["s"][cls])[:, 0] + net.weights["sb"][cls]
+        plain = sum(v[np.arange(200), k] - v.max(1) - np.log(np.exp(v - v.max(1, keepdims=True)).sum(1)) for v, k in ((top, cls), (low, place)))
+        assert net.log_probabilities(h, target) == pytest.approx(plain, rel=1e-4, abs=1e-3)
+
+
 def test_replicas_learn_from_every_document(spark, monkeypatch):
     # "c" follows "a" and "b" in turn; each word alone is as frequent as the other
     monkeypatch.setattr(lm, "SHARD", 4000)
