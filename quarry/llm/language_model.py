@@ -30,6 +30,8 @@ BLOCK = 1024
 PIECE = 16_384
 #: Tokens that a task scores together, about, and bytes of text that are cut in tokens together; a longer text is taken by itself.
 TOGETHER, BYTES = 1_000_000, 2_000_000
+#: Bytes of words and counts that a task holds before it sums them up, about.
+COUNTED = 32_000_000
 #: Word that ends each document; no text has it, as it is white space.
 END = " "
 FOLD = 7
@@ -401,7 +403,7 @@ class Model:
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, n) of the texts; a word comes once for every 500,000 different ones, about."""
+    """(word, n) of the texts; a word comes once for every COUNTED / 2 bytes of different words and counts, about."""
     held: list[pa.Table] = []
 
     def summed() -> pa.Table:
@@ -413,9 +415,9 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n = np.bincount(token, minlength=len(words))
             t = pa.table({"word": words, "n": pa.array(n, pa.int64())})
             held.append(t.filter(pa.array(n > 0)))
-            if sum(map(len, held)) > 1_000_000:
+            if sum(t.nbytes for t in held) > COUNTED:
                 held = [summed()]
-                if len(held[0]) > 500_000:
+                if held[0].nbytes > COUNTED / 2:
                     yield from held.pop().to_batches()
     if held:
         yield from summed().to_batches()

@@ -116,6 +116,16 @@ def test_each_word_is_counted_once_a_task():
     assert sorted(zip(out["word"].to_pylist(), out["n"].to_pylist())) == sorted([(w.encode(), 2) for w in words] + [(b" ", 1000)])
 
 
+def test_counting_holds_a_bounded_number_of_bytes():
+    # texts without white space, all different: words of 100,000 bytes
+    batches = (pa.record_batch([pa.array([f"{i}-{k}" + "x" * 100_000 for k in range(20)])], names=["text"]) for i in range(100))
+    pa.default_memory_pool().release_unused()
+    begin, most, rows = pa.total_allocated_bytes(), 0, 0
+    for b in lm._count_words(batches):
+        most, rows = max(most, pa.total_allocated_bytes() - begin), rows + len(b)
+    assert rows >= 2000 and most < 150_000_000
+
+
 def test_counts_leave_the_task_in_parts_and_add_up():
     words = [f"w{i}" for i in range(700_000)]
     batches = [pa.record_batch([pa.array([" ".join(words[i : i + 500])])], names=["text"]) for i in range(0, len(words), 500)]
